@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, packing, simhash
+from threadloom.llm import bpe, packing, simhash, toxicity
 from threadloom.llm.common import table
 
 
@@ -21,6 +21,13 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(*toxicity.labelled_sample(docs, labels, toxicity.learnable()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(~toxicity.learnable(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -35,7 +42,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip]
+    own = [op2_toxicity, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip]
     return {f.__name__: f for f in own}
 
 
