@@ -139,3 +139,44 @@ def test_components_of_paths_and_stars(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     by = got.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("m")).collect()
     assert sorted((r.m, r.n) for r in by) == [(0, 201), (1000, 51), (5000, 2)]
+
+
+def test_similar_documents(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows, i = [], 0
+    for _ in range(60):
+        base = [word() for _ in range(rnd.choice([12, 60, 250, 900]))]
+        rows.append((i, " ".join(base)))
+        for _ in range(rnd.randint(0, 4)):
+            i += 1
+            words = list(base)
+            for _ in range(max(1, len(words) // rnd.choice([60, 90, 20]))):
+                words[rnd.randrange(len(words))] = word()
+            rows.append((i, " ".join(words)))
+        i += 1
+    rows += [(9000, None), (9001, ""), (9002, rows[0][1].upper()), (None, rows[3][1])]
+    sets = {}
+    for d, t in rows:
+        words = (t or "").lower().split()
+        sets[d] = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = [d for d in sets if d is not None]
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] == sets[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    for a, b in linked:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert len(got) == len(rows)
+    # nothing less alike is joined, and nearly all links are found
+    assert all(find(d) == find(c) for d, c in got.items() if d is not None)
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
+    assert got[9000] == got[9001] == 9000 and got[9002] == got[0]
+    assert simhash.similar_documents(docs.limit(0)).count() == 0

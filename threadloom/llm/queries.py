@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, fingerprint, packing, simhash, toxicity, urls
+from threadloom.llm import bpe, chat, fingerprint, packing, simhash, suffix_dedup, toxicity, urls
 from threadloom.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip]
+    own = [op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip, op10_suffix_array_dedup]
     return {f.__name__: f for f in own}
 
 

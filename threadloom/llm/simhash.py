@@ -236,3 +236,135 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+# -- near copies of a given similarity ------------------------------------------
+
+#: Shingles that a sub-bag holds on average, and sub-bags of a document that are used.
+SUB_BAG = 4
+SUB_BAGS = 32
+#: Bits in which the fingerprints of near copies may differ; a first sieve before the exact similarity.
+SIEVE = 22
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def sub_bag_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a document's sub-bags: SimHashes of its distinct shingles, dealt by hash.
+
+    The number of sub-bags is a power of two, so that near copies deal alike;
+    two powers are used, as near copies may lie on both sides of a step.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.int64)
+    out = []
+    low = max(0, (n // SUB_BAG).bit_length() - 1)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if n else None
+    for power in (low, low + 1):
+        bag = (hashes >> np.uint64(7)) & np.uint64((1 << power) - 1)
+        used = bag < SUB_BAGS
+        order = np.argsort(bag[used], kind="stable")
+        own, rows = bag[used][order], bits[used][order]
+        if not len(own):
+            continue
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        size = np.diff(np.append(at, len(own)))
+        major = np.packbits(2 * np.add.reduceat(rows, at, axis=0, dtype=np.int32) > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        with np.errstate(over="ignore"):
+            key = (major ^ (own[at] * np.uint64(64) + np.uint64(power)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((key ^ (key >> np.uint64(31))).view(np.int64))
+    return np.concatenate(out)
+
+
+def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
+    """``a, b``: within each key the neighbours in Gray order, and each with the first; linear in the rows. ``keyed``: ``key, fp, node``."""
+    dealt = keyed.distinct().repartition("key").sortWithinPartitions("key", "fp", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            order = np.lexsort((gray_rank(fp.view(np.uint64)), group))
+            fp, node = fp[order].view(np.uint64), node[order]
+            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group] if len(key) else group
+            i = np.arange(len(key))
+            pairs = np.concatenate([np.stack([i[1:], i[:-1]]), np.stack([i, head])], axis=1) if len(key) else np.empty((2, 0), np.int64)
+            a, b = pairs[:, group[pairs[0]] == group[pairs[1]]]
+            near = (np.bitwise_count(fp[a] ^ fp[b]) <= sieve) & (node[a] != node[b])
+            a, b = node[a[near]], node[b[near]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for batch in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                key, fp, node = map(np.concatenate, zip(*held, strict=True))
+                new = np.flatnonzero(key[1:] != key[:-1])
+                # a key with more rows than a chunk is worked on in parts that share one row
+                end = int(new[-1]) + 1 if len(new) else len(key)
+                yield edges(key[:end], fp[:end], node[:end])
+                at = end if len(new) else end - 1
+                held, rows = [(key[at:], fp[at:], node[at:])], len(key) - at
+        if held:
+            yield edges(*map(np.concatenate, zip(*held, strict=True)))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
+    """``doc_id, component_id`` of every document; links join documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates are pairs of whole fingerprints within ``most`` bits (found by
+    the index), and pairs with an equal SimHash of a sub-bag of shingles: at
+    similarity 0.8 a sub-bag of four is left whole by chance about once in
+    three, and there are up to 32 of them in two dealings. Each candidate is
+    then held against the exact similarity, so documents that are less alike
+    are never joined. Documents of equal shingle sets are one node throughout.
+    """
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+            fps = [majority_bits(s) for s in sets]
+            keys = [sub_bag_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common) and bool(len(p)))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    described = cut(source.mapInArrow(describe, "doc_id bigint, node bigint, fp bigint, keys array<bigint>"))
+    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    by_bag = candidate_edges(described.select(F.explode("keys").alias("key"), "fp", "node"))
+    # fingerprints within a few bits: the index gives a forest over fingerprints
+    ends = link(nodes.select("fp").distinct(), most)
+    of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    edges = cut(by_bag.unionByName(by_bits).distinct())
+    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    least = described.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = cut(source.join(least, "doc_id").select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]))
+    one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
+    links = edges.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
+    roots = connected_components(links)
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select("node", "component_id")
+    return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
