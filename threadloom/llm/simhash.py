@@ -338,7 +338,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+            # rows of one doc_id may have other texts
+            own = pa.array([xxhash.xxh64_intdigest(s, SEED) - (1 << 63) == n for s, n in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), pa.array(sets, pa.binary()).filter(own)], ["node", "hashes"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

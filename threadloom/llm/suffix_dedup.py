@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.llm.common import text_or_empty
 
@@ -290,12 +291,12 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, cols, types, strict=True)})
 
 
-def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dealt-out documents (``batch, doc_id, text`` as bytes) and, by batch, the spans to remove."""
+def covered_spans(docs: DataFrame, others: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """The dealt-out documents (``batch, doc_id, text`` as bytes, others as ``o_*``) and, by batch, the spans to remove."""
     spark = docs.sparkSession
     buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    dealt = docs.select(F.shiftright(low_id, BATCH_BITS).alias("batch"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    dealt = docs.select(F.shiftright(low_id, BATCH_BITS).alias("batch"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"), *[F.col(c).alias(f"o_{c}") for c in others])
 
     def mark(key: tuple, rows: pa.Table) -> pa.Table:
         b = Batch(rows)
@@ -389,28 +390,29 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, asked.groupBy("bucket").applyInArrow(find, SPANS)
 
 
+def _gone(b: Batch, found: pa.Table) -> np.ndarray:
+    """Whether each byte of a batch is in a removed span."""
+    n = len(b.data)
+    depth = np.zeros(n + 1, np.int32)
+    at, start, stop = _joined(found.column("at"), np.int32), _joined(found.column("start"), np.int64), _joined(found.column("stop"), np.int64)
+    np.add.at(depth, b.starts[at] + start, 1)
+    np.add.at(depth, b.starts[at] + stop, -1)
+    return np.cumsum(depth[:n]) > 0
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, spans`` (array of start, stop: maximal removed runs, in bytes) and ``kept`` (binary) of every document."""
     dealt, spans = covered_spans(docs)
 
     def take(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
         b = Batch(rows)
-        n = len(b.data)
-        depth = np.zeros(n + 1, np.int32)
-        at, start, stop = _joined(found.column("at"), np.int32), _joined(found.column("start"), np.int64), _joined(found.column("stop"), np.int64)
-        np.add.at(depth, b.starts[at] + start, 1)
-        np.add.at(depth, b.starts[at] + stop, -1)
-        gone = np.cumsum(depth[:n]) > 0
+        gone = _gone(b, found)
         out_spans, kept = [], []
         for lo, hi in zip(b.starts, b.ends, strict=True):
             own = gone[lo:hi]
-            if own.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-                out_spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                kept.append(b.data[lo:hi][~own].tobytes())
-            else:
-                out_spans.append([])
-                kept.append(b.data[lo:hi].tobytes())
+            edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
+            out_spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+            kept.append(b.data[lo:hi][~own].tobytes())
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({"doc_id": pa.array([b.raw[k] for k in b.rows], pa.int64()), "n_bytes": pa.array(b.size, pa.int64()), "spans": pa.array(out_spans, span), "kept": pa.array(kept, pa.binary())})
 
@@ -418,6 +420,34 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(take, schema)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (columns of any other names go along) with the repeats cut out of ``text``.
+
+    A character stays whole if one of its bytes does, so the text stays UTF-8;
+    a null text becomes empty.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    dealt, spans = covered_spans(docs, others)
+    schema = docs.select("doc_id", "text", *others).schema
+    arrow = to_arrow_schema(schema)
+
+    def take(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
+        b = Batch(rows)
+        gone = _gone(b, found)
+        lead = (b.data & 0xC0) != 0x80
+        lead[b.starts[b.size > 0]] = True
+        at = np.flatnonzero(lead)
+        whole = np.logical_and.reduceat(gone, at) if len(at) else gone
+        keep = ~np.repeat(whole, np.diff(np.append(at, len(b.data)))) if len(at) else ~gone
+        texts = [b.data[lo:hi][keep[lo:hi]].tobytes().decode() for lo, hi in zip(b.starts, b.ends, strict=True)]
+        cols = {"doc_id": pa.array([b.raw[k] for k in b.rows]), "text": pa.array(texts, pa.string())}
+        for c in others:
+            cols[c] = rows.column(f"o_{c}").take(pa.array(b.rows, pa.int64()))
+        return pa.table(cols).cast(arrow)
+
+    return dealt.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(take, schema)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     done = remove_repeats(docs)

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +54,11 @@ BATCH = 128
 LEFT_OUT = 0.3
 RATE = 0.02
 DECAY = 0.1
-#: Training texts that a bucket must occur in; rarer ones keep the zero vector.
-LEAST_TEXTS = 40
+PUSH, CLIP = 0.15, 20.0
+#: Training steps at least; few labelled rows are gone through more often.
+STEPS = 200
+#: Share of the training texts, and their number at most, that a bucket must occur in; rarer ones keep the zero vector.
+LEAST_SHARE, LEAST_TEXTS = 0.01, 40
 #: How much the pool of a text's windows favours the strongest.
 SHARP = 4.0
 #: Times that a window's average is taken before the softmax.
@@ -127,7 +131,7 @@ class _Bags:
         word, text = np.divmod(np.concatenate([*pairs, np.empty(0, np.int64)]), max(1, len(texts)))
         at = np.repeat(self.start[word], self.size[word]) + np.arange(self.size[word].sum()) - np.repeat(np.cumsum(self.size[word]) - self.size[word], self.size[word])
         seen = np.unique(self.grams[at] * len(texts) + np.repeat(text, self.size[word]))
-        self.common = np.bincount(seen // max(1, len(texts)), minlength=BUCKETS) >= LEAST_TEXTS
+        self.common = np.bincount(seen // max(1, len(texts)), minlength=BUCKETS) >= min(LEAST_TEXTS, max(2, LEAST_SHARE * len(texts)))
 
     def _spans(self, n: int) -> list[tuple[int, int, int]]:
         ends = np.searchsorted(self.text_of, np.arange(n), "right")
@@ -161,9 +165,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
     order = rng.permutation(len(y))
     batches = [(b, bags.part(b)) for b in np.array_split(order, -(-len(y) // BATCH))]
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    step, scale, epochs = 0, 0.0, max(EPOCHS, -(-STEPS // len(batches)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
             which, (word, window, text, gram, owner) = batches[k]
             n, n_words, n_windows = len(which), int(owner.max(initial=-1)) + 1, len(text)
@@ -187,13 +191,15 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
             to_diff = to_bucket[touched] @ weights["embedding"][touched]
             grads = {"softmax": np.outer(to_diff, [-1.0, 1.0]), "bias": error.sum() * np.array([-1.0, 1.0])}
             step += 1
-            for name, grad in [*grads.items(), ("embedding", np.outer(to_bucket[touched], diff))]:
-                rows = touched if name == "embedding" else slice(None)
+            for name, grad in grads.items():
                 m, v = moments[name]
-                m[rows] += 0.1 * (grad - m[rows])
-                v[rows] += 0.01 * (grad * grad - v[rows])
-                move = (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-8)
-                weights[name][rows] -= rate * (move + DECAY * weights[name][rows] * (name == "embedding"))
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                weights[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            # one scale for all buckets: what pulls the same way in many texts moves most
+            grad = np.outer(to_bucket[touched], diff)
+            scale += 0.02 * ((grad * grad).mean() - scale) if step > 1 else (grad * grad).mean()
+            weights["embedding"][touched] -= PUSH * rate * np.clip(grad / np.sqrt(scale + 1e-30), -CLIP, CLIP) + rate * DECAY * weights["embedding"][touched]
     diff = weights["softmax"] @ np.array([-1.0, 1.0])
     return Model(weights["embedding"] @ diff, float(weights["bias"] @ np.array([-1.0, 1.0])))
 
@@ -224,3 +230,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return source.mapInArrow(run, "doc_id bigint, score double")
+
+
+def score_column(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score of each whole text as one more column; only texts go to the Python workers."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, known = held.value, {}
+        for part in texts:
+            yield pd.Series([own.score(t, known) for t in part], dtype="float64")
+
+    return docs.withColumn(name, scores(text_or_empty(text_col)))
