@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import text_or_empty
 
 #: Labelled rows that training takes at most.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -111,45 +111,39 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each row."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class _Bags:
-    """Texts as windows of word numbers, words as bags of buckets."""
+    """Texts as rows of word numbers, words as bags of buckets, in flat arrays."""
 
     def __init__(self, texts: list[str]):
         numbers: dict[str, int] = {}
-        self.words, text_of = [], []
-        for t, text in enumerate(texts):
-            ids = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
-            for at in range(0, len(ids), WINDOW):
-                self.words.append(np.array(ids[at : at + WINDOW], np.int64))
-                text_of.append(t)
-        self.text_of = np.array(text_of, np.int64)
-        bags = [features(w) for w in numbers]
-        self.grams = np.array([g for b in bags for g in b], np.int64)
+        rows = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts]
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.word = np.concatenate([*rows, np.empty(0, np.int32)])
+        bags = [np.array(features(w), np.int32) for w in numbers]
         self.size = np.array([len(b) for b in bags], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        pairs = [np.unique(np.concatenate(self.words[a:b])) * len(texts) + t for t, a, b in self._spans(len(texts)) if b > a]
-        word, text = np.divmod(np.concatenate([*pairs, np.empty(0, np.int64)]), max(1, len(texts)))
-        at = np.repeat(self.start[word], self.size[word]) + np.arange(self.size[word].sum()) - np.repeat(np.cumsum(self.size[word]) - self.size[word], self.size[word])
-        seen = np.unique(self.grams[at] * len(texts) + np.repeat(text, self.size[word]))
-        self.common = np.bincount(seen // max(1, len(texts)), minlength=BUCKETS) >= min(LEAST_TEXTS, max(2, LEAST_SHARE * len(texts)))
-
-    def _spans(self, n: int) -> list[tuple[int, int, int]]:
-        ends = np.searchsorted(self.text_of, np.arange(n), "right")
-        return [(t, int(a), int(b)) for t, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True))]
+        self.at = np.cumsum(self.size) - self.size
+        self.gram = np.concatenate([*bags, np.empty(0, np.int32)])
+        seen = np.zeros(BUCKETS, np.int32)
+        for r in rows:
+            used = np.unique(r)
+            seen[np.unique(self.gram[_ranges(self.at[used], self.size[used])])] += 1
+        self.common = seen >= min(LEAST_TEXTS, max(2, LEAST_SHARE * len(texts)))
 
     def part(self, texts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For a batch: word of each place, window of each place, text of each window, and the words' grams."""
-        place = np.full(1 + int(self.text_of.max(initial=0)), -1)
-        place[texts[texts < len(place)]] = np.flatnonzero(texts < len(place))
-        windows = np.flatnonzero(place[self.text_of] >= 0)
-        if not len(windows):
-            return (np.empty(0, np.int64),) * 5
-        words = np.concatenate([self.words[w] for w in windows])
-        window = np.repeat(np.arange(len(windows)), [len(self.words[w]) for w in windows])
-        used, word = np.unique(words, return_inverse=True)
+        """For a batch: word of each place, window of each place, text of each window, and the words' grams with their words."""
+        length = self.length[texts]
+        windows = -(-length // WINDOW)
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        window = np.repeat(np.cumsum(windows) - windows, length) + place // WINDOW
+        used, word = np.unique(self.word[_ranges(self.start[texts], length)], return_inverse=True)
         owner = np.repeat(np.arange(len(used)), self.size[used])
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(self.size[used]) - self.size[used], self.size[used])
-        return word, window, place[self.text_of[windows]], self.grams[np.repeat(self.start[used], self.size[used]) + within], owner
+        return word, window, np.repeat(np.arange(len(texts)), windows), self.gram[_ranges(self.at[used], self.size[used])], owner
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
@@ -164,12 +158,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     weights["bias"][1] = np.log(y.mean() / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
     order = rng.permutation(len(y))
-    batches = [(b, bags.part(b)) for b in np.array_split(order, -(-len(y) // BATCH))]
+    batches = np.array_split(order, -(-len(y) // BATCH))
     step, scale, epochs = 0, 0.0, max(EPOCHS, -(-STEPS // len(batches)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
-            which, (word, window, text, gram, owner) = batches[k]
+            which = batches[k]
+            word, window, text, gram, owner = bags.part(which)
             n, n_words, n_windows = len(which), int(owner.max(initial=-1)) + 1, len(text)
             diff = weights["softmax"] @ np.array([-1.0, 1.0])
             kept = (rng.random(len(gram)) >= LEFT_OUT) & bags.common[gram]
