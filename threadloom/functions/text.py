@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: Characters a token stands for, and the accepted roles.
 CHARS_PER_TOKEN = 3.5
 ROLES = ("user", "assistant", "system", "tool")
-PART = "struct<type:string,content:string>"
+#: White space, as in a Java character class.
+BLANK = r"\s\x85   -     　﻿"
 
 
 def col(x: Column | str) -> Column:
@@ -34,7 +35,7 @@ def split_by_budget(text: Column | str, budget: int) -> Column:
 
 def trimmed(text: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(col(text), r"^[\s ﻿]+", ""), r"[\s ﻿]+$", "")
+    return F.regexp_replace(F.regexp_replace(col(text), f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
 
 
 def parse_parts(content: Column | str) -> Column:
