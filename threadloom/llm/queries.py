@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, fingerprint, packing, simhash, suffix_dedup, toxicity, urls
+from threadloom.llm import bpe, chat, fingerprint, packing, simhash, suffix_dedup, toxicity, urls, wordpiece
 from threadloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocab_path())
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(*toxicity.labelled_sample(docs, labels, toxicity.learnable()))
@@ -59,7 +63,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip, op10_suffix_array_dedup]
+    own = [op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip, op10_suffix_array_dedup]
     return {f.__name__: f for f in own}
 
 
