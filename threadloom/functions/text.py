@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Characters a token stands for, and the accepted roles.
 CHARS_PER_TOKEN = 3.5
 ROLES = ("user", "assistant", "system", "tool")
-#: White space, as in a Java character class.
-BLANK = r"\s\x85   -     　﻿"
+#: The characters that trimming takes off.
+BLANK = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def col(x: Column | str) -> Column:
