@@ -42,7 +42,7 @@ LONGEST_WORD = 100
 #: Words whose counts a worker keeps; a full cache is emptied.
 CACHE_WORDS = 500_000
 #: Fixed value: the characters of Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORDS = re.compile(f"[^{WHITE}]+")
 
 
