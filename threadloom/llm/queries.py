@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, fingerprint, packing, simhash, suffix_dedup, toxicity, urls, wordpiece
+from threadloom.llm import bpe, chat, fingerprint, packing, simhash, suffix_dedup, topk, toxicity, urls, wordpiece
 from threadloom.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk.search(docs, docs.filter(F.col("doc_id") % 100 == 0), 10)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -63,9 +68,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op8_best_fit_packing, op9_bpe_round_trip, op10_suffix_array_dedup]
+    own = [op1_token_counts, op2_toxicity, op3_merkle_fingerprints, op4_chat_formatting, op5_url_filters, op6_simhash_near_dedup, op7_topk_search, op8_best_fit_packing, op9_bpe_round_trip, op10_suffix_array_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE, "op5_url_filters": urls.ORACLE}
+    return {"op4_chat_formatting": chat.ORACLE, "op5_url_filters": urls.ORACLE, "op7_topk_search": topk.ORACLE}
