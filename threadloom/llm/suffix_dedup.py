@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -364,10 +365,10 @@ def covered_spans(docs: DataFrame, others: list[str] | tuple = ()) -> tuple[Data
             own = np.flatnonzero(later)
             off = b.starts[doc[own]]
             made.append((int(batch % buckets), batch, 1, b"", _blob(doc[own].astype(np.int32)), _blob(start[own] - off), _blob(start[own] - off + length[own])))
-        sent = np.flatnonzero(~later)
+        sent, squeeze = np.flatnonzero(~later), zstandard.ZstdCompressor(level=3)
         for bucket, pos in split_rows((key_[sent] >> U(32)).astype(np.int64)):
             p = sent[pos]
-            made.append((bucket, batch, 0, _blob(b.ids[doc[p]]), _blob(doc[p].astype(np.int32)), _blob(start[p] - b.starts[doc[p]]), _blob(windows(b.data, start[p], length[p]))))
+            made.append((bucket, batch, 0, _blob(b.ids[doc[p]]), _blob(doc[p].astype(np.int32)), _blob(start[p] - b.starts[doc[p]]), squeeze.compress(_blob(windows(b.data, start[p], length[p])))))
         return _table(made, ["bucket", "batch", "kind", "doc", "at", "start", "ctx"], [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4])
 
     def find(key: tuple, rows: pa.Table) -> pa.Table:
@@ -376,6 +377,8 @@ def covered_spans(docs: DataFrame, others: list[str] | tuple = ()) -> tuple[Data
         asked = [k for k in range(rows.num_rows) if cols["kind"][k] == 0]
         if asked:
             asked.sort(key=lambda k: cols["batch"][k])
+            for k in asked:
+                cols["ctx"][k] = zstandard.decompress(cols["ctx"][k])
             cat = lambda c, t: np.frombuffer(b"".join(cols[c][k] for k in asked), t)
             docs_, at, start, ctx = cat("doc", np.int64), cat("at", np.int32), cat("start", np.int64), cat("ctx", np.uint8).reshape(-1, WIDTH)
             from_ = np.repeat(np.arange(len(asked)), [len(cols["doc"][k]) // 8 for k in asked])
