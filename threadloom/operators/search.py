@@ -38,7 +38,11 @@ class Phrase:
                 out = out & F.coalesce(t.startswith(word) if self.prefix and k == m - 1 else t == word, F.lit(False))
             return out
 
-        return F.size(F.filter(at, here))
+        whole = self.tokens[:-1] if self.prefix else self.tokens
+        present = F.lit(True)
+        for word in set(whole):
+            present = present & F.array_contains(doc, word)
+        return F.when(present, F.size(F.filter(at, here))).otherwise(0)
 
 
 @dataclass
@@ -163,8 +167,10 @@ def ranked(docs: DataFrame, query: str, text_col: str = "content") -> DataFrame:
     one row; there is no shuffle of texts or postings.
     """
     q = parse(query)
-    tokens = docs.withColumn("_tokens", search_tokens(text_col))
-    counted = tokens.withColumns({"_dl": F.size("_tokens")} | {f"_tf{k}": p.count(F.col("_tokens")) for k, p in enumerate(q.phrases)}).drop("_tokens")
+    # a lambda binds the tokens, so they are made once for each text whatever asks for them
+    counts = F.transform(F.array(search_tokens(text_col)), lambda d: F.array(F.size(d), *[p.count(d) for p in q.phrases]))[0]
+    tokens = docs.withColumn("_counts", counts)
+    counted = tokens.withColumns({"_dl": F.col("_counts")[0]} | {f"_tf{k}": F.col("_counts")[k + 1] for k in range(len(q.phrases))}).drop("_counts")
     stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(q.phrases))]).alias("s")).scalar()
     scored = counted.filter(q.matches([F.col(f"_tf{k}") for k in range(len(q.phrases))])).withColumn("_s", stats)
     score = F.lit(0.0)
