@@ -158,3 +158,43 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+def _sql_hashes(text: str) -> str:
+    """Nested hashes of a text in DuckDB: (root, shown) as a struct."""
+    section, paragraph, sentence = (p.replace("'", "''") for p in (SECTION, PARAGRAPH, SENTENCE))
+    spans_ = f"list_transform(regexp_extract_all(p, '{sentence}'), lambda x: md5(x))"
+    paragraph_ = f"list_transform(regexp_extract_all(s, '{paragraph}'), lambda p: {spans_})"
+    return f"list_transform(regexp_extract_all({text}, '{section}'), lambda s: {paragraph_})"
+
+
+def _sql_print(h: str) -> str:
+    root_ = f"sha256(array_to_string(list_transform({h}, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), ''))"
+    shown = f"array_to_string(list_transform({h}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda x: left(x, 8)), '')), ',')), ';')"
+    return f"{root_} || ':' || {shown}"
+
+
+def _sql_near(one: str, other: str) -> str:
+    return f"""(SELECT CASE WHEN {one} = {other} THEN 1.0 WHEN len(a) + len(b) = 0 THEN 1.0 ELSE
+      2.0 * (head + least(back, n - head) + len(list_intersect(a[head + 1:len(a) - least(back, n - head)], b[head + 1:len(b) - least(back, n - head)]))) / (len(a) + len(b)) END
+    FROM (SELECT *, coalesce(list_position(list_transform(range(n), lambda i: a[i + 1] = b[i + 1]), false) - 1, n) AS head,
+                 coalesce(list_position(list_transform(range(n), lambda i: a[len(a) - i] = b[len(b) - i]), false) - 1, n) AS back
+          FROM (SELECT a, b, least(len(a), len(b)) AS n FROM (SELECT regexp_extract_all(split_part({one}, ':', 2), '[0-9a-f]{{8}}') AS a, regexp_extract_all(split_part({other}, ':', 2), '[0-9a-f]{{8}}') AS b))))"""
+
+
+ORACLE = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), nexts AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM docs WINDOW w AS (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), edits AS (
+  SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM nexts
+), hashed AS (
+  SELECT *, {_sql_hashes("text")} AS h, {_sql_hashes("edited")} AS eh, {_sql_hashes("next_text")} AS nh FROM edits
+), prints AS (
+  SELECT doc_id, text, edited, {_sql_print("h")} AS fingerprint, {_sql_print("eh")} AS edited_fingerprint, {_sql_print("nh")} AS next_fingerprint FROM hashed
+)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       CAST({_sql_near("fingerprint", "edited_fingerprint")} AS DOUBLE) AS near_edited, CAST({_sql_near("fingerprint", "next_fingerprint")} AS DOUBLE) AS near_next
+FROM prints
+"""

@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE, "op5_url_filters": urls.ORACLE, "op7_topk_search": topk.ORACLE}
+    return {"op3_merkle_fingerprints": fingerprint.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_url_filters": urls.ORACLE, "op7_topk_search": topk.ORACLE}

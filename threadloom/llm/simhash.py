@@ -245,6 +245,8 @@ SUB_BAG = 4
 SUB_BAGS = 32
 #: Bits in which the fingerprints of near copies may differ; a first sieve before the exact similarity.
 SIEVE = 22
+#: Size of a group up to which neighbours are candidates too.
+FEW = 8
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -280,7 +282,11 @@ def sub_bag_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
-    """``a, b``: within each key the neighbours in Gray order, and each with the first; linear in the rows. ``keyed``: ``key, fp, node``."""
+    """``a, b``: within each key each node with the first and the last in Gray order, in small groups also neighbours; linear in the rows.
+
+    Nodes of a large group of near copies share most keys, so they meet the
+    same few firsts and lasts under all of them. ``keyed``: ``key, fp, node``.
+    """
     dealt = keyed.distinct().repartition("key").sortWithinPartitions("key", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +296,10 @@ def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
             fp, node = fp[order].view(np.uint64), node[order]
             head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group] if len(key) else group
             i = np.arange(len(key))
-            pairs = np.concatenate([np.stack([i[1:], i[:-1]]), np.stack([i, head])], axis=1) if len(key) else np.empty((2, 0), np.int64)
-            a, b = pairs[:, group[pairs[0]] == group[pairs[1]]]
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(key) else i
+            tail = np.append(start[1:], len(key))[group] - 1 if len(key) else i
+            few = i[1:][(tail - head + 1 <= FEW)[1:] & (group[1:] == group[:-1])]
+            a, b = np.concatenate([np.stack([i, head]), np.stack([i, tail]), np.stack([few, few - 1])], axis=1)
             near = (np.bitwise_count(fp[a] ^ fp[b]) <= sieve) & (node[a] != node[b])
             a, b = node[a[near]], node[b[near]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
