@@ -287,7 +287,7 @@ def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
     Nodes of a large group of near copies share most keys, so they meet the
     same few firsts and lasts under all of them. ``keyed``: ``key, fp, node``.
     """
-    dealt = keyed.distinct().repartition("key").sortWithinPartitions("key", "fp", "node")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -361,8 +361,10 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     described = cut(source.mapInArrow(describe, "doc_id bigint, node bigint, fp bigint, keys array<bigint>"))
-    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    by_bag = candidate_edges(described.select(F.explode("keys").alias("key"), "fp", "node"))
+    # copies meet here, before the keys are dealt out; all rows of a node have its fingerprint and keys
+    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = described_nodes.drop("keys")
+    by_bag = candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node"))
     # fingerprints within a few bits: the index gives a forest over fingerprints
     ends = link(nodes.select("fp").distinct(), most)
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
