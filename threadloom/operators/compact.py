@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from threadloom.config import EngineConfig
 from threadloom.functions.text import estimate_tokens
 from threadloom.operators import dag, ingest
+from threadloom.sources.checkpoint import checkpointed
 
 #: (texts, depth, level) -> summary text.
 Summarizer = Callable[[Sequence[str], int, str], str]
@@ -154,8 +155,8 @@ def truncate(tables: dict[str, DataFrame], budget: int, only: DataFrame | None =
 
 def compact(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words) -> dict[str, DataFrame]:
     """One compaction of all conversations; each step is checkpointed, so the plan stays short."""
-    keep = lambda t: t | {k: t[k].checkpoint() for k in ("summaries", "summary_messages", "summary_parents")}
-    levels = state(tables, config).checkpoint()
+    keep = lambda t: t | {k: checkpointed(t[k]) for k in ("summaries", "summary_messages", "summary_parents")}
+    levels = checkpointed(state(tables, config))
     hard = levels.filter("level = 'deterministic'").select("conversation_id")
     tables = keep(truncate(tables, config.condensed_summary_budget, hard))
     made, links = leaf_summaries(tables, config, summarizer, levels)
@@ -163,7 +164,7 @@ def compact(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summ
     tables = keep(tables | {"summaries": tables["summaries"].select(cols).unionByName(made), "summary_messages": tables["summary_messages"].unionByName(links)})
     for depth in range(config.max_summary_depth):
         made, edges = condense(tables, depth, levels, config, summarizer)
-        made = made.checkpoint()
+        made = checkpointed(made)
         if made.isEmpty():
             break
         tables = keep(tables | {"summaries": tables["summaries"].unionByName(made), "summary_parents": tables["summary_parents"].unionByName(edges)})

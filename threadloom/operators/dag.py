@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.checkpoint import checkpointed
+
 #: Levels that a walk goes up or down at most; a valid DAG has far fewer.
 MOST_LEVELS = 32
 
@@ -89,7 +91,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     for near, far in (("child_id", "parent_id"), ("parent_id", "child_id")):
         n = left.count()
         while n:
-            left = left.join(left.select(F.col(far).alias(near)).distinct(), near, "left_semi").select("child_id", "parent_id").checkpoint(eager=True)
+            left = checkpointed(left.join(left.select(F.col(far).alias(near)).distinct(), near, "left_semi").select("child_id", "parent_id"))
             m = left.count()
             if m == n:
                 break
