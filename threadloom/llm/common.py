@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that go to a Python worker at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; read by Spark alone, so any store works."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     Rows that two later branches read stay the same after a lost executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from threadloom.llm.common import text_or_empty
+from threadloom.llm.common import small_batches, text_or_empty
 
 LENGTH = 50
 GRAM = 25
@@ -295,6 +295,7 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 def covered_spans(docs: DataFrame, others: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
     """The dealt-out documents (``batch, doc_id, text`` as bytes, others as ``o_*``) and, by batch, the spans to remove."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     dealt = docs.select(F.shiftright(low_id, BATCH_BITS).alias("batch"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"), *[F.col(c).alias(f"o_{c}") for c in others])
