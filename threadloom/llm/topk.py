@@ -14,8 +14,8 @@ sum of its terms' block maxima cannot reach the k-th score so far; blocks are
 taken from the largest bound down, so that score rises early. The tasks'
 results merge exactly, as all use the same global statistics.
 
-A document's score adds its terms in one order everywhere, so equal texts have
-equal scores; ties go to the smaller doc_id. Only documents that share a term
+Scores are rounded to nine decimals, so equal texts have equal scores; ties go
+to the smaller doc_id. Only documents that share a term
 with the query are found.
 
 Defined results: each distinct word (letters, digits and underscores, in lower
@@ -46,6 +46,8 @@ SHARD_DOCS, SHARD_BYTES = 4_096, 1 << 25
 BLOCK = 16
 #: Distinct terms of all queries of one block at most (a single longer query is a block of its own).
 QUERY_TERMS = 1_000_000
+#: A term that one in so many of a shard's documents has is common.
+DENSE = 8
 #: Blocks of documents that are taken first, to raise the threshold.
 FIRST = 8
 WORD = re.compile(r"\w+")
@@ -94,33 +96,62 @@ class Shard:
         self.block_max = np.maximum.reduceat(self.impact, self.block_start[:-1]) if len(block) else self.impact
         self.term_block = np.searchsorted(self.block_start, self.starts)
         self.n_blocks = -(-len(self.docs) // BLOCK)
+        # terms that many documents have are rows of a matrix: their postings would be nearly as long
+        df = np.diff(self.starts)
+        common = np.flatnonzero(df * DENSE >= max(len(self.docs), DENSE * BLOCK))
+        self.dense_row = np.full(len(self.terms), -1)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(common)))
+        for k, t in enumerate(common):
+            lo, hi = self.starts[t], self.starts[t + 1]
+            self.dense[self.post_doc[lo:hi], k] = self.impact[lo:hi]
+        self.dense_max = self.dense.reshape(self.n_blocks, BLOCK, len(common)).max(1)
 
     def search(self, terms: np.ndarray, idf: np.ndarray, top: TopK) -> None:
-        """Run one query (sorted term hashes) and update its top k."""
+        """Run one query (sorted term hashes) and update its top k.
+
+        A block's bound is the sum of its terms' maxima. In the blocks that may
+        reach the k-th score, the rarer terms' postings are added up; a document
+        that may still reach it with the common terms' maxima of its block gets
+        its common terms too.
+        """
         at = np.searchsorted(self.terms, terms)
         own = at < len(self.terms)
         own[own] = self.terms[at[own]] == terms[own]
         at, weight = at[own], idf[own]
         if not len(at):
             return
+        row = self.dense_row[at]
+        common = row >= 0
+        full = np.zeros(self.dense.shape[1])
+        full[row[common]] = weight[common]
+        common_max = self.dense_max @ full
+        at, weight = at[~common], weight[~common]
         lo = self.term_block[at]
         n = self.term_block[at + 1] - lo
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        entry_weight = np.repeat(weight, n)
-        bound = np.bincount(self.block_of[entry], entry_weight * self.block_max[entry], self.n_blocks) * (1 + 1e-9)
+        entry_weight, block = np.repeat(weight, n), self.block_of[entry]
+        bound = (np.bincount(block, entry_weight * self.block_max[entry], self.n_blocks) + common_max) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         for part in (order[:FIRST], order[FIRST:]):
             live = np.zeros(self.n_blocks, bool)
             live[part[(bound[part] > 0) & (bound[part] >= top.least())]] = True
             if not live.any():
                 continue
-            some = live[self.block_of[entry]]
+            some = live[block]
             e = entry[some]
             size = self.block_start[e + 1] - self.block_start[e]
             post = np.repeat(self.block_start[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            score = np.bincount(self.post_doc[post], np.repeat(entry_weight[some], size) * self.impact[post], len(self.docs))
-            hit = np.flatnonzero(score >= max(top.least(), 1e-300))
-            top.add(score[hit], self.docs[hit])
+            score = np.bincount(self.post_doc[post], np.repeat(entry_weight[some], size) * self.impact[post], self.n_blocks * BLOCK)
+            most = score.reshape(self.n_blocks, BLOCK) + common_max[:, None]
+            doc = np.flatnonzero((live[:, None] & (most > 0) & (most * (1 + 1e-9) >= top.least())).ravel())
+            doc = doc[doc < len(self.docs)]
+            if len(doc):
+                total = score[doc] + self.dense[doc] @ full
+                # sums of equal texts may differ in their last bits
+                total = np.round(total, 9)
+                hit = total >= max(top.least(), 1e-300)
+                top.add(total[hit], self.docs[doc[hit]])
 
 
 class TopK:
