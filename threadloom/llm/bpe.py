@@ -46,6 +46,22 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+class _Spaced(dict):
+    """Ids of a part of a text with the space before it; a missing one is encoded."""
+
+    def __init__(self, span):
+        super().__init__()
+        self.span = span
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.span(" " + part)
+        if len(part) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[part] = found
+        return found
+
+
 class RankArrayBPE:
     """Encoder and decoder for one vocabulary file."""
 
@@ -76,7 +92,7 @@ class RankArrayBPE:
         self.words = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.spaced = _Spaced(self._span)
 
     # -- one word ---------------------------------------------------------
 
@@ -149,21 +165,7 @@ class RankArrayBPE:
         if "  " in text:
             return self._span(text)
         first, *rest = text.split(" ")
-        spaced, out = self.spaced, [self._span(first)]
-        try:
-            out += map(spaced.__getitem__, rest)
-        except KeyError:
-            out = out[:1]
-            for part in rest:
-                found = spaced.get(part)
-                if found is None:
-                    found = self._span(" " + part)
-                    if len(part) <= CACHE_CHARS:
-                        if len(spaced) >= CACHE_WORDS:
-                            spaced.clear()
-                        spaced[part] = found
-                out.append(found)
-        return b"".join(out)
+        return b"".join([self._span(first), *map(self.spaced.__getitem__, rest)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
