@@ -36,6 +36,8 @@ CACHE_CHARS = 64
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 60
+#: Texts below this character may go to the compiled encoder, where speed is asked for.
+QUICK_BELOW = chr(0x250)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,7 +67,7 @@ class _Spaced(dict):
 class RankArrayBPE:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, quick: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -91,6 +93,11 @@ class RankArrayBPE:
             self.merged.append(vocab[left + right])
         self.words = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.quick = None
+        if quick:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("threadloom", pat_str=PATTERN, mergeable_ranks={self.token_bytes[i]: i for i in vocab.values()}, special_tokens={})
         self.pieces: dict[str, bytes] = {}
         self.spaced = _Spaced(self._span)
 
@@ -152,6 +159,9 @@ class RankArrayBPE:
 
     def _span(self, text: str) -> bytes:
         """Ids of a text, or of a part of it that begins at a safe cut."""
+        if self.quick is not None and max(text, default="") < QUICK_BELOW:
+            ids = self.quick.encode_ordinary(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
         piece = self._piece
         return b"".join([piece(w) for w in self.words.findall(text)])
 
@@ -183,9 +193,9 @@ class RankArrayBPE:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> RankArrayBPE:
-    """One encoder for each vocabulary and worker."""
-    return RankArrayBPE(path)
+def load(path: str, quick: bool = False) -> RankArrayBPE:
+    """One encoder for each vocabulary and worker; ``quick`` leaves new Latin words to tiktoken's compiled one."""
+    return RankArrayBPE(path, quick)
 
 
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, terminator: int = 0, capacity
     end = terminator.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocab_path)
+        bpe = load(vocab_path, quick=True)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
