@@ -180,3 +180,37 @@ def test_similar_documents(spark):
     assert sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
     assert got[9000] == got[9001] == 9000 and got[9002] == got[0]
     assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_similar_documents_star(spark):
+    """Copies alike to one original (0.82), not to each other (about 0.68), beside unlike documents that share its keys."""
+    n, rng = 400, np.random.default_rng(9)
+    base = [f"w{k}" for k in range(204)]
+    rows = [(n, " ".join(base))]
+    for i in range(n):
+        words = list(base)
+        # four words with five shingles each
+        for x, at in enumerate(rng.choice(np.arange(5, 200, 5), 4, replace=False) + rng.integers(0, 5)):
+            words[at] = f"v{i}-{x}"
+        rows.append((i, " ".join(words)))
+    of = [{tuple(t.split()[k : k + 5]) for k in range(200)} for _, t in rows]
+    assert all(0.8 <= len(s & of[0]) / len(s | of[0]) <= 0.88 for s in of[1:])
+    rows += [(1000 + i, " ".join(base[:20] + [f"u{i}-{x}" for x in range(180)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    found = sum(got[i] == got[n] for i in range(n))
+    assert found >= 0.97 * n, found
+    assert all(got[1000 + i] == 1000 + i for i in range(40))
+
+
+def test_several_clusters_under_one_key(spark):
+    """Pairs that are neither first, last nor nearest to the middle of their key meet all the same."""
+    rng = np.random.default_rng(3)
+    n = 300
+    fps = rng.integers(0, 2**63, n // 2, dtype=np.int64)
+    rows = [(7, int(f) ^ (1 << int(rng.integers(0, 60))) * k, 2 * i + k) for i, f in enumerate(fps) for k in (0, 1)]
+    met = simhash.candidate_edges(spark.createDataFrame(rows, "key long, fp long, node long"))
+    members = met.filter("key is not null").selectExpr("key", "a as node", "b as fp", "a as root", "100 as size")
+    pairs = {tuple(r) for r in simhash.open_pairs(members, 0.8).collect()}
+    want = {(x, y) for _, f, x in rows for _, g, y in rows if x < y and ((f ^ g) & (2**64 - 1)).bit_count() <= simhash.SIEVE}
+    assert pairs == want and len(want) >= n // 2

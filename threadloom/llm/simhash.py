@@ -247,6 +247,12 @@ SUB_BAGS = 32
 SIEVE = 22
 #: Size of a group up to which neighbours are candidates too.
 FEW = 8
+#: Size of a group up to which the first round meets all pairs.
+WHOLE = 4
+#: Pairs of fingerprints that are compared at a time.
+BLOCK = 1 << 22
+#: Pairs up to which their ends are broadcast to the shingle sets.
+BROADCAST = 10_000
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -282,30 +288,48 @@ def sub_bag_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
-    """``a, b``: within each key each node with the first and the last in Gray order, in small groups also neighbours; linear in the rows.
-
-    Nodes of a large group of near copies share most keys, so they meet the
-    same few firsts and lasts under all of them. ``keyed``: ``key, fp, node``.
+    """``a, b, key``: the candidates of a first round, linear in the rows, and the members of larger groups.
+
+    Within each key each node meets the first and the last in Gray order, in
+    small groups also its neighbours, in others also the node nearest to the
+    majority of all bits, which in a group of copies is close to their common
+    original; ``key`` is null. These are not all pairs of a group of more than
+    ``WHOLE``: each row of such a group comes out as ``node, fp, key``, for
+    ``open_pairs``. ``keyed``: ``key, fp, node``.
     """
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray, parted: int | None) -> pa.RecordBatch:
             group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             order = np.lexsort((gray_rank(fp.view(np.uint64)), group))
             fp, node = fp[order].view(np.uint64), node[order]
-            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group] if len(key) else group
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(key) else group
+            size = np.diff(np.append(start, len(key)))
+            head, tail, own = start[group], (start + size - 1)[group], size[group]
             i = np.arange(len(key))
-            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(key) else i
-            tail = np.append(start[1:], len(key))[group] - 1 if len(key) else i
-            few = i[1:][(tail - head + 1 <= FEW)[1:] & (group[1:] == group[:-1])]
-            a, b = np.concatenate([np.stack([i, head]), np.stack([i, tail]), np.stack([few, few - 1])], axis=1)
+            few = i[1:][(own <= FEW)[1:] & (group[1:] == group[:-1])]
+            met = [np.stack([i, head]), np.stack([i, tail]), np.stack([few, few - 1])]
+            many = np.flatnonzero(own > FEW)
+            if len(many):
+                at = np.flatnonzero(np.r_[True, group[many][1:] != group[many][:-1]])
+                n = np.diff(np.append(at, len(many)))
+                bits = np.unpackbits(fp[many].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                major = np.packbits(2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+                nearest = np.lexsort((np.bitwise_count(fp[many] ^ np.repeat(major, n)), group[many]))
+                met.append(np.stack([many, np.repeat(many[nearest[at]], n)]))
+            a, b = np.concatenate(met, axis=1)
             near = (np.bitwise_count(fp[a] ^ fp[b]) <= sieve) & (node[a] != node[b])
             a, b = node[a[near]], node[b[near]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            large = own > WHOLE
+            if parted is not None:
+                large |= key == parted
+            ends = np.concatenate([np.minimum(a, b), node[large]]), np.concatenate([np.maximum(a, b), fp[large].view(np.int64)])
+            under = pa.array(np.concatenate([np.zeros(len(a), np.int64), key[large]]), mask=np.r_[np.ones(len(a), bool), np.zeros(large.sum(), bool)])
+            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), under], ["a", "b", "key"])
 
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        rows, parted = 0, None
         for batch in batches:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             rows += batch.num_rows
@@ -314,11 +338,57 @@ def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
                 new = np.flatnonzero(key[1:] != key[:-1])
                 # a key with more rows than a chunk is worked on in parts that share one row
                 end = int(new[-1]) + 1 if len(new) else len(key)
-                yield edges(key[:end], fp[:end], node[:end])
+                if not len(new):
+                    parted = key[0]
+                yield edges(key[:end], fp[:end], node[:end], parted)
                 at = end if len(new) else end - 1
                 held, rows = [(key[at:], fp[at:], node[at:])], len(key) - at
         if held:
-            yield edges(*map(np.concatenate, zip(*held, strict=True)))
+            yield edges(*map(np.concatenate, zip(*held, strict=True)), parted)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+
+
+def open_pairs(members: DataFrame, similarity: float, sieve: int = SIEVE) -> DataFrame:
+    """``a, b``: all pairs under one key that are not connected yet and may be alike, by fingerprint and size.
+
+    ``members``: ``key, fp, node, root, size``. A group is compared in blocks
+    of at most ``BLOCK`` pairs, which go out as they are found.
+    """
+    dealt = members.select("key", "fp", "node", "root", "size").repartition("key").sortWithinPartitions("key", "node")
+
+    def pairs(fp: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (root == root[0]).all():
+            return
+        step = max(1, BLOCK // len(fp))
+        for lo in range(0, len(fp), step):
+            hi = min(lo + step, len(fp))
+            near = (np.bitwise_count(fp[lo:hi, None] ^ fp[None, lo:]) <= sieve) & (root[lo:hi, None] != root[None, lo:])
+            i, j = np.nonzero(near)
+            i, j = i[i < j] + lo, j[i < j] + lo
+            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            a, b = node[i[fits]], node[j[fits]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            _, fp, node, root, size = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            yield from pairs(fp.view(np.uint64), node, root, size)
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cuts = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and held[-1][0][0] != columns[0][lo]:
+                    yield from flush()
+                held.append(tuple(c[lo:hi] for c in columns))
+        if held:
+            yield from flush()
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -331,7 +401,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     similarity 0.8 a sub-bag of four is left whole by chance about once in
     three, and there are up to 32 of them in two dealings. Each candidate is
     then held against the exact similarity, so documents that are less alike
-    are never joined. Documents of equal shingle sets are one node throughout.
+    are never joined. A first round takes few candidates of a large group of
+    one key; a second takes all pairs there that it has not connected.
+    Documents of equal shingle sets are one node throughout.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
 
@@ -341,7 +413,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
             fps = [majority_bits(s) for s in sets]
             keys = [sub_bag_keys(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "size", "keys"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,23 +432,38 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    described = cut(source.mapInArrow(describe, "doc_id bigint, node bigint, fp bigint, keys array<bigint>"))
+    described = cut(source.mapInArrow(describe, "doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
     # copies meet here, before the keys are dealt out; all rows of a node have its fingerprint and keys
-    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     nodes = described_nodes.drop("keys")
-    by_bag = candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node"))
+    met = cut(candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node")))
+    by_bag = met.filter("key is null").select("a", "b")
+    members = met.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
     # fingerprints within a few bits: the index gives a forest over fingerprints
     ends = link(nodes.select("fp").distinct(), most)
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     edges = cut(by_bag.unionByName(by_bits).distinct())
-    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     least = described.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = cut(source.join(least, "doc_id").select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]))
-    one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
-    links = edges.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
-    roots = connected_components(links)
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
+
+    roots = connected_components(verified(edges, sets))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "size"))
+    left = cut(open_pairs(members.join(rooted.select("node", "root", "size"), "node"), similarity).join(edges, ["a", "b"], "left_anti"))
+    n = left.count()
+    if n:
+        if n <= BROADCAST:
+            ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+            sets = sets.join(F.broadcast(ends), "node", "left_semi")
+        of_root = rooted.select("node", "root")
+        more = verified(left, sets).join(of_root.toDF("a", "x"), "a").join(of_root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        last = connected_components(more).toDF("root", "last")
+        rooted = rooted.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("node", "component_id")
     return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
