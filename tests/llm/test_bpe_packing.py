@@ -132,3 +132,15 @@ def test_repeated_rows_and_null_id(spark):
     docs = spark.createDataFrame([(None, "x"), (3, "same text"), (3, "same text")], "doc_id long, text string")
     rows = packing.pack_documents(docs, PATH).collect()
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
+
+
+def test_partitions_of_one_size_class(spark):
+    rnd = random.Random(5)
+    sizes = [[rnd.randint(1100, 1300) for _ in range(6000)], [rnd.randint(700, 900) for _ in range(6000)]]
+    rows = [(6000 * k + i, 0, 0, n, 7) for k, own in enumerate(sizes) for i, n in enumerate(own)]
+    got = packing.pack(spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), packing.PIECE)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert sorted(r.doc_id for r in got) == list(range(12000)) and max(map(sum, by.values())) <= 2048
+    assert len(by) <= 1.005 * len(packing.best_fit(sorted(sizes[0] + sizes[1], reverse=True), 2048))

@@ -2,13 +2,13 @@
 
 Every document becomes pieces of at most ``capacity`` tokens; pieces go into
 sequences of that size. Each partition packs its pieces by best-fit decreasing
-in bounded windows. Sequences with almost no room left are final. The others
-become items of the next round: fewer partitions, joined as a tree, each
-packing whole underfull sequences into one another (or their pieces anew where
-that takes fewer sequences), until one partition is left. After best fit at most one sequence of a partition is half full or
-less, so a partition passes on those at most half full and the ``FORWARD``
-emptiest others; the rest are final as they are. No round meets more than ``FAN_IN`` times that many items
-in one task, whatever the size of the input, and no row is dropped.
+in bounded windows. Sequences with almost no room left are final. All others
+become items of the next round: dealt anew over fewer partitions, each packing
+whole underfull sequences into one another (or their pieces anew where that
+takes fewer sequences). There are ``FAN_IN`` times fewer partitions in each
+round, but so many that one has about half a ``WINDOW`` of items; it ends with
+one partition, or once a round of such partitions saves less than a thousandth
+of the sequences. No row is dropped.
 
 Each round is checkpointed in the shared folder before it is read twice (final
 sequences, underfull ones), so both halves stem from the same packing even if
@@ -38,8 +38,6 @@ CAPACITY = 2048
 NEARLY_FULL = 4
 #: Items that a task holds while it packs its partition.
 WINDOW = 65_536
-#: Underfull sequences more than half full that a task passes on.
-FORWARD = 2048
 #: Partitions that become one in the next round.
 FAN_IN = 8
 
@@ -106,7 +104,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(bins: DataFrame, stage: int, capacity: int, nearly_full: int, window: int, forward: int) -> DataFrame:
+def _round(bins: DataFrame, stage: int, capacity: int, nearly_full: int, window: int) -> DataFrame:
     """One round in each partition; input columns ``size, pieces``."""
 
     def order(item: tuple[int, list[dict]]) -> tuple:
@@ -163,28 +161,35 @@ def _round(bins: DataFrame, stage: int, capacity: int, nearly_full: int, window:
             if len(held) >= window:
                 held = pack(held)
                 for size, pieces in held[window // 2 :]:
-                    put(size, pieces, False)
+                    put(size, pieces, True)
                 del held[window // 2 :]
             if len(out) >= 1024:
                 yield drain()
-        held = pack(held)
-        small = sum(2 * size <= capacity for size, _ in held)
-        for k, (size, pieces) in enumerate(held):
-            put(size, pieces, k < small + forward)
+        for size, pieces in pack(held):
+            put(size, pieces, True)
+            if len(out) >= 1024:
+                yield drain()
         yield drain()
 
     return bins.select("size", "pieces").mapInArrow(run, BIN)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, window: int = WINDOW, forward: int = FORWARD, fan_in: int = FAN_IN) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``pieces`` (those of ``token_pieces``)."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, window: int = WINDOW, forward: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``pieces`` (those of ``token_pieces``).
+
+    ``forward`` was a cap on what a partition passes on; it has no effect.
+    """
     first = pieces.select(F.col("length").alias("size"), F.array(F.struct(*PIECE.fieldNames())).alias("pieces"))
-    packed = cut(_round(first, 0, capacity, nearly_full, window, forward))
-    rounds, n, stage = [], packed.rdd.getNumPartitions(), 0
-    while n > 1:
-        n, stage = -(-n // fan_in), stage + 1
+    packed = cut(_round(first, 0, capacity, nearly_full, window))
+    rounds, n, stage, left = [], packed.rdd.getNumPartitions(), 0, packed.filter("open").count()
+    while left > 1 and (n > 1 or not stage or 2 * left > window):
+        fewer, stage = max(-(-n // fan_in), -(-2 * left // window)), stage + 1
         rounds.append(packed.filter(~F.col("open")))
-        packed = cut(_round(packed.filter("open").repartition(n), stage, capacity, nearly_full, window, forward))
+        packed = cut(_round(packed.filter("open").repartition(fewer), stage, capacity, nearly_full, window))
+        made = packed.count()
+        if fewer >= n and 1000 * (left - made) < left:
+            break
+        n, left = fewer, packed.filter("open").count()
     for r in rounds:
         packed = packed.unionByName(r)
     return packed.select("sequence_id", F.explode("pieces").alias("p")).select(*[f"p.{f}" for f in PIECE.fieldNames()], "sequence_id", "p.offset")
