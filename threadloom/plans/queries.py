@@ -380,6 +380,12 @@ def escape_xml(spark, sf_dir):
     return model.table(spark, sf_dir, "pages").select("page_id", T.escape_xml("url").alias("escaped"), T.escape_xml(F.substring("html", 1, 200)).alias("html"))
 
 
+@query()
+def escape_xml_whole(spark, sf_dir):
+    """Whole pages; ``escape_xml`` and its SQL take the first 200 characters."""
+    return model.table(spark, sf_dir, "pages").select("page_id", T.escape_xml("url").alias("escaped"), T.escape_xml("html").alias("html"))
+
+
 # -- compaction ------------------------------------------------------------------
 
 
