@@ -36,16 +36,16 @@ def test_equals_library():
     begin = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(120)})
     go_on = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 4))) for _ in range(60)})
     vocab = {v: i for i, v in enumerate(["[UNK]", *begin, *("##" + g for g in go_on)])}
-    library = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=wp.LONGEST_WORD))
+    library = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=100))
     library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-    counter = wp.Counter(wp.LongestMatch([b.encode() for b in begin], [g.encode() for g in go_on]))
+    counter = wp.Counter(wp.LongestMatch([b.encode() for b in begin], [g.encode() for g in go_on]), longest=100)
     for _ in range(400):
         text = "".join(rnd.choice("abcde \n \x85") for _ in range(rnd.randint(0, 60))) + rnd.choice(["", " " + "a" * 101, " z"])
         assert counter.text(text)[1] == len(library.encode(text).ids), text
 
 
 def test_rows(spark):
-    texts = {1: "the quick brown fox", 2: None, 3: "", 4: "über 漢字  x " * 3000, 5: "\x1c \x1d"}
+    texts = {1: "the quick brown fox", 2: None, 3: "", 4: "über 漢字  x " * 3000, 5: "\x1c \x1d", 6: "QmFzZTY0" * 400 + " end", 7: "a" * 5000}
     docs = spark.createDataFrame([(i, t, 9) for i, t in texts.items()] + [(1, texts[1], 9), (None, "a", 9)], "doc_id long, text string, n_tokens int")
     begin, go_on = map(set, wp.vocabulary(PATH))
     got = sorted(map(tuple, wp.token_counts(docs, PATH).collect()), key=str)

@@ -1,8 +1,8 @@
 """Shared plumbing of the training-data operators: tables, batches, checkpoints.
 
 Everything that an operator keeps between jobs goes to the folder named by
-``spark.checkpoint.dir``, which all executors share; nothing is written to a
-machine-local folder on a cluster.
+``spark.checkpoint.dir``, which all executors share. A session that names none
+gets a temporary folder if its master is local, and an error on a cluster.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(held)
         return held
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
     sc.setCheckpointDir(own)
     return own

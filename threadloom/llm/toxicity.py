@@ -3,8 +3,9 @@
 A word is the bag of its hashed character n-grams (with word-boundary marks)
 and of itself; its vector is the mean of their embeddings. A text's word
 vectors are averaged and go into a linear softmax over two labels. Embeddings
-and softmax are trained jointly, in numpy, by Adam on batches of labelled
-texts, so an unseen misspelling shares most n-gram vectors with the word that
+and softmax are trained jointly, in numpy, on batches of labelled texts
+(softmax and bias by Adam, embeddings by gradients over one running scale, with
+decay), so an unseen misspelling shares most n-gram vectors with the word that
 it hides. Some n-grams are left out at random in each training step, which
 keeps the whole word from carrying all the weight.
 
@@ -16,16 +17,19 @@ Every word of every text takes part, whatever its length.
 As the softmax is linear, a word counts by one number, the logit of its
 vector; a scoring worker computes it once for each word and keeps it.
 
-Training takes a bounded sample of labelled rows (``MAX_LABELLED``, those with
-the smallest hashes of doc_id), collected to the driver; scoring runs over all
-rows on the executors, with one trained number for each of ``BUCKETS`` buckets
-as a broadcast of fixed size. Labels, language, source and doc_id are never
-inputs of a score.
+Training takes a bounded sample of labelled documents (at most
+``MAX_LABELLED``, those with the smallest hashes of doc_id, as far as their
+texts have ``MAX_BYTES`` together), collected to the driver; scoring runs over
+all rows on the executors, with one trained number for each of ``BUCKETS``
+buckets as a broadcast of fixed size. Labels, language, source and doc_id are
+never inputs of a score.
 
 Defined results: a null or empty text has no words, so its score is that of
 the bias alone; a label of an unknown document and a null label are ignored;
-without labels of both kinds every text has the share of toxic labels as its
-score (0 without any); repeated rows are scored each.
+of several labels of one doc_id the highest counts, of several texts of one
+doc_id the first in order is learnt from; without labels of both kinds every
+text has the share of toxic labels as its score (0 without any); repeated rows
+are scored each; scores are finite whatever the labelled texts hold.
 """
 
 from __future__ import annotations
@@ -43,8 +47,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import text_or_empty
 
-#: Labelled rows that training takes at most.
-MAX_LABELLED = 6_000
+#: Labelled documents that training takes at most, and bytes of their texts.
+MAX_LABELLED, MAX_BYTES = 6_000, 1 << 25
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -146,6 +150,36 @@ class _Bags:
         return word, window, np.repeat(np.arange(len(texts)), windows), self.gram[_ranges(self.at[used], self.size[used])], owner
 
 
+#: The logit of label 1 against label 0.
+SIDES = np.array([-1.0, 1.0])
+
+
+def loss_and_gradients(weights: dict[str, np.ndarray], part: tuple[np.ndarray, ...], y: np.ndarray, kept: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+    """Mean loss of a batch, d loss / d (embedding @ softmax @ SIDES) of each bucket, and the gradients of softmax and bias.
+
+    ``part`` is that of ``_Bags.part``; ``kept`` tells which grams take part.
+    """
+    word, window, text, gram, owner = part
+    n, n_words, n_windows = len(y), int(owner.max(initial=-1)) + 1, len(text)
+    diff = weights["softmax"] @ SIDES
+    share = kept / np.maximum(np.bincount(owner, minlength=n_words) * (1 - LEFT_OUT), 1)[owner]
+    word_logit = np.bincount(owner, share * (weights["embedding"] @ diff)[gram], n_words)
+    length = np.bincount(window, minlength=n_windows)
+    z = SCALE * np.bincount(window, word_logit[word], n_windows) / np.maximum(length, 1)
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, text, z)
+    top = np.where(np.isfinite(top), top, 0)
+    e = np.exp(SHARP * (z - top[text]))
+    total, count = np.bincount(text, e, n), np.bincount(text, minlength=n)
+    logit = np.where(count > 0, top + np.log(np.maximum(total, 1e-300) / np.maximum(count, 1)) / SHARP, 0) + weights["bias"] @ SIDES
+    loss = float((np.logaddexp(0, logit) - y * logit).mean())
+    error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) / n
+    to_window = SCALE * error[text] * e / total[text] / np.maximum(length, 1)
+    to_word = np.bincount(word, to_window[window], n_words)
+    to_bucket = np.bincount(gram, share * to_word[owner], BUCKETS)
+    return loss, to_bucket, {"softmax": np.outer(to_bucket @ weights["embedding"], SIDES), "bias": error.sum() * SIDES}
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     """Fit embeddings and softmax jointly."""
     y = np.array(toxic, np.float64)
@@ -163,48 +197,47 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
-            which = batches[k]
-            word, window, text, gram, owner = bags.part(which)
-            n, n_words, n_windows = len(which), int(owner.max(initial=-1)) + 1, len(text)
-            diff = weights["softmax"] @ np.array([-1.0, 1.0])
-            kept = (rng.random(len(gram)) >= LEFT_OUT) & bags.common[gram]
-            share = kept / np.maximum(np.bincount(owner, minlength=n_words) * (1 - LEFT_OUT), 1)[owner]
-            word_logit = np.bincount(owner, share * (weights["embedding"] @ diff)[gram], n_words)
-            length = np.bincount(window, minlength=n_windows)
-            z = SCALE * np.bincount(window, word_logit[word], n_windows) / np.maximum(length, 1)
-            top = np.full(n, -np.inf)
-            np.maximum.at(top, text, z)
-            top = np.where(np.isfinite(top), top, 0)
-            e = np.exp(SHARP * (z - top[text]))
-            total, count = np.bincount(text, e, n), np.bincount(text, minlength=n)
-            logit = np.where(count > 0, top + np.log(np.maximum(total, 1e-300) / np.maximum(count, 1)) / SHARP, 0) + weights["bias"] @ np.array([-1.0, 1.0])
-            error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[which]) / n
-            to_window = SCALE * error[text] * e / total[text] / np.maximum(length, 1)
-            to_word = np.bincount(word, to_window[window], n_words)
-            to_bucket = np.bincount(gram, share * to_word[owner], BUCKETS)
-            touched = np.flatnonzero(to_bucket)
-            to_diff = to_bucket[touched] @ weights["embedding"][touched]
-            grads = {"softmax": np.outer(to_diff, [-1.0, 1.0]), "bias": error.sum() * np.array([-1.0, 1.0])}
+            part = bags.part(batches[k])
+            kept = (rng.random(len(part[3])) >= LEFT_OUT) & bags.common[part[3]]
+            _, to_bucket, grads = loss_and_gradients(weights, part, y[batches[k]], kept)
+            diff = weights["softmax"] @ SIDES
             step += 1
             for name, grad in grads.items():
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 weights[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            touched = np.flatnonzero(to_bucket)
+            if not len(touched):
+                continue
             # one scale for all buckets: what pulls the same way in many texts moves most
             grad = np.outer(to_bucket[touched], diff)
-            scale += 0.02 * ((grad * grad).mean() - scale) if step > 1 else (grad * grad).mean()
+            square = (grad * grad).mean()
+            scale = square if not scale else scale + 0.02 * (square - scale)
             weights["embedding"][touched] -= PUSH * rate * np.clip(grad / np.sqrt(scale + 1e-30), -CLIP, CLIP) + rate * DECAY * weights["embedding"][touched]
-    diff = weights["softmax"] @ np.array([-1.0, 1.0])
-    return Model(weights["embedding"] @ diff, float(weights["bias"] @ np.array([-1.0, 1.0])))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = MAX_LABELLED) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` labelled rows for which ``learn`` (over doc_id) holds."""
-    known = labels.filter(F.col("toxic").isNotNull() & learn).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(picked, "doc_id").select("text", "toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    return Model(weights["embedding"] @ (weights["softmax"] @ SIDES), float(weights["bias"] @ SIDES))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, most: int = MAX_LABELLED, most_bytes: int = MAX_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``most`` labelled documents for which ``learn`` (over doc_id) holds.
+
+    Sizes come first, so no more than ``most_bytes`` of text reach the driver;
+    documents are taken by the hash of their id, one that no longer fits is left out.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    sizes = source.select("doc_id", F.octet_length("text").alias("size")).join(picked, "doc_id").groupBy("doc_id").agg(F.max("size").alias("size"))
+    chosen, room = [], most_bytes
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= room:
+            chosen.append((r["doc_id"],))
+            room -= r["size"]
+    if not chosen:
+        return [], []
+    wanted = picked.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)), "doc_id")
+    rows = source.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [min(1, max(0, r.toxic)) for r in rows]
 
 

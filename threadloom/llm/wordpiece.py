@@ -16,7 +16,8 @@ Vocabulary: entries that begin a word, and continuations. From a byte-level
 BPE file they follow by rule: tokens with the mark of a space begin words, the
 others continue them; all work on UTF-8 bytes. Words are what white space
 parts. A word without a way through is one unknown token, as in word-piece
-tokenizers, as is one of more than ``LONGEST_WORD`` characters.
+tokenizers. Words of any length go through the automaton, which is linear in
+them; a tokenizer's limit on the characters of a word is an option (``longest``).
 
 Defined results: a null or empty text has 0 words and 0 tokens; repeated rows
 are counted each.
@@ -37,10 +38,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.bpe import byte_alphabet
 from threadloom.llm.common import text_or_empty
 
-#: Characters of a word that is split into pieces at most.
-LONGEST_WORD = 100
-#: Words whose counts a worker keeps; a full cache is emptied.
-CACHE_WORDS = 500_000
+#: Words whose counts a worker keeps, and the characters of one that is kept; a full cache is emptied.
+CACHE_WORDS, CACHED = 500_000, 64
 #: Fixed value: the characters of Unicode's White_Space property.
 WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORDS = re.compile(f"[^{WHITE}]+")
@@ -110,16 +109,19 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class Counter:
-    def __init__(self, automaton: LongestMatch):
-        self.automaton, self.known = automaton, {}
+    """Counts of whole texts; a word of more than ``longest`` characters is one unknown token (None: no limit)."""
+
+    def __init__(self, automaton: LongestMatch, longest: int | None = None):
+        self.automaton, self.longest, self.known = automaton, longest, {}
 
     def word(self, word: str) -> int:
         n = self.known.get(word)
         if n is None:
-            n = 1 if len(word) > LONGEST_WORD else self.automaton.count(word.encode()) or 1
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = n
+            n = 1 if self.longest is not None and len(word) > self.longest else self.automaton.count(word.encode()) or 1
+            if len(word) <= CACHED:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[word] = n
         return n
 
     def text(self, text: str) -> tuple[int, int]:
