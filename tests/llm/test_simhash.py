@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests.oracle import DATA
 from threadloom.llm import simhash
 from threadloom.llm.components import connected_components
 
@@ -72,9 +73,9 @@ def test_gray_index_finds_all_pairs():
     codes = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for _ in range(40))]))
     index = simhash.GrayIndex(codes)
     for most in (0, 2, 5):
-        got = {(int(index.codes[a]), int(index.codes[b])) for q, f in index.search(index.codes, most) for a, b in zip(q, f, strict=True)}
-        want = {(int(a), int(b)) for a in codes for b in codes if (int(a) ^ int(b)).bit_count() <= most}
-        assert got == want
+        got = {(int(index.codes[a]), int(index.codes[b])) for q, f in index.search(most) for a, b in zip(q, f, strict=True)}
+        want = {frozenset((int(a), int(b))) for a in codes for b in codes if a < b and (int(a) ^ int(b)).bit_count() <= most}
+        assert {frozenset(p) for p in got} == want
 
 
 def test_forest_connects_what_links_connect():
@@ -214,3 +215,25 @@ def test_several_clusters_under_one_key(spark):
     pairs = {tuple(r) for r in simhash.open_pairs(members, 0.8).collect()}
     want = {(x, y) for _, f, x in rows for _, g, y in rows if x < y and ((f ^ g) & (2**64 - 1)).bit_count() <= simhash.SIEVE}
     assert pairs == want and len(want) >= n // 2
+
+
+def test_index_on_the_documents(spark):
+    """The links of whole documents come from the index: it visits nodes, and far fewer than there are pairs of one large group."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    codes = np.array(sorted({r.fp for r in simhash.fingerprints(docs).select("fp").collect()}), np.int64).view(np.uint64)
+    pairs, visits = set(), 0
+    for mask in simhash.key_masks(2):
+        part = codes & np.uint64(mask % 2**64)
+        order = np.argsort(part, kind="stable")
+        group = np.cumsum(np.r_[0, part[order][1:] != part[order][:-1]])
+        index = simhash.GrayIndex(codes[order], group)
+        for q, f in index.search(2):
+            pairs |= {frozenset((int(index.codes[a]), int(index.codes[b]))) for a, b in zip(q, f, strict=True)}
+        visits += index.visits
+    assert pairs == {frozenset((int(a), int(b))) for k, a in enumerate(codes) for b in codes[k + 1 :] if (int(a) ^ int(b)).bit_count() <= 2}
+    assert visits >= 2 * 15 * len(codes)
+    rng = np.random.default_rng(3)
+    many = np.unique(rng.integers(0, 2**32, 20_000, dtype=np.uint64))
+    index = simhash.GrayIndex(many)
+    found = sum(len(q) for q, _ in index.search(2))
+    assert 0 < index.visits < len(many) ** 2 / 8 and found >= 0

@@ -7,10 +7,12 @@
    blocks, so all links meet under some key, and the few free bits bound what
    one key can hold (2 bits: 15 keys, at most 2^22 distinct fingerprints).
 4. Under a key the fingerprints are sorted by Gray rank and put in a hierarchy:
-   bits that all members of a node share are factored into the node. A search
-   goes down by levels, adds up the differences in factored bits, and drops a
-   whole group once they exceed d. The links found become a spanning forest,
-   so what leaves a group grows with its members, not its pairs.
+   bits that all members of a node share are factored into the node, the key's
+   own bits into its root. A search goes down by levels, adds up the
+   differences in factored bits, and drops a whole group once they exceed d.
+   The hierarchies of all keys of a task are built and searched together. The
+   links found become a spanning forest, so what leaves a group grows with its
+   members, not its pairs.
 5. Components of the forest edges name the groups by their smallest doc_id.
 
 Defined results: a null or empty text has the fingerprint 0, linked like any
@@ -35,14 +37,12 @@ from threadloom.llm.components import connected_components
 
 BITS = 64
 SEED = 42
-#: Members of an index leaf, and children of an index node.
+#: Children of an index node.
 FAN = 16
-#: Groups up to this size are one leaf: members are compared directly.
-SMALL = 32
 #: Rows of whole groups that a task works on at a time.
 CHUNK = 65_536
-#: Queries that go down the index together.
-QUERIES = 2_048
+#: Queries go down the index together as far as this many members of their groups, each group counted up to LEVEL_COST.
+QUERY_COST, LEVEL_COST = 1 << 20, 1 << 12
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -93,45 +93,64 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over distinct codes, sorted by Gray rank.
+    """Hierarchies over distinct codes, one for each group (``group`` ascends), sorted by Gray rank.
 
-    Level 0 are the codes. A node of a higher level has ``FAN`` consecutive
-    nodes below it; ``mask`` are the bits that all codes under it share and
-    ``value`` those bits. Bits factored higher up are not compared again.
+    Level 0 are the codes. A node of a higher level has up to ``FAN``
+    consecutive nodes of one group below it; ``mask`` are the bits that all
+    codes under it share and ``value`` those bits. Bits factored higher up are
+    not compared again. The last level has one root a group. ``visits`` counts
+    the nodes that searches have looked at.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        full = np.full(len(codes), ~np.uint64(0))
-        self.levels = [(full, self.codes)]
-        while len(self.levels[-1][0]) > FAN:
-            mask, value = self.levels[-1]
-            starts = np.arange(0, len(mask), FAN)
-            head = np.repeat(value[starts], np.diff(np.append(starts, len(mask))))
-            shared = np.bitwise_and.reduceat(mask & ~(value ^ head), starts)
-            self.levels.append((shared, value[starts] & shared))
-
-    def search(self, queries: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (query position, code position) of all pairs that differ in ``most`` bits or fewer."""
-        for at in range(0, len(queries), QUERIES):
-            block = queries[at : at + QUERIES]
-            top = len(self.levels[-1][0])
-            q, node = np.repeat(np.arange(len(block)), top), np.tile(np.arange(top), len(block))
-            done, diff = np.zeros(len(node), np.uint64), np.zeros(len(node), np.uint8)
+    def __init__(self, codes: np.ndarray, group: np.ndarray | None = None):
+        group = np.zeros(len(codes), np.int64) if group is None else group
+        self.order = np.lexsort((gray_rank(codes), group))
+        self.codes, group = codes[self.order], group[self.order]
+        self.visits = 0
+        #: mask and value of each node; first node below and their number
+        self.levels = [(np.full(len(codes), ~np.uint64(0)), self.codes, np.arange(len(codes)), np.ones(len(codes), np.int64))]
+        self.root = np.zeros(len(codes), np.int64)
+        while True:
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(group)))
+            if len(self.levels) > 1 and (sizes == 1).all():
+                self.root = np.repeat(np.arange(len(sizes)), self.sizes)
+                return
+            if len(self.levels) == 1:
+                self.sizes = sizes
+            place = np.arange(len(group)) - np.repeat(starts, sizes)
+            first = np.flatnonzero(place % FAN == 0)
+            count = np.diff(np.append(first, len(group)))
+            mask, value = self.levels[-1][:2]
+            if len(first):
+                shared = np.bitwise_and.reduceat(mask & ~(value ^ np.repeat(value[first], count)), first)
+                self.levels.append((shared, value[first] & shared, first, count))
+            else:
+                self.levels.append((mask, value, first, count))
+            group = group[first]
+
+    def search(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (position, position) in ``codes`` of all pairs of a group that differ in ``most`` bits or fewer, each once."""
+        cost = np.cumsum(np.minimum(np.repeat(self.sizes, self.sizes), LEVEL_COST))
+        at = 0
+        while at < len(self.codes):
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + QUERY_COST, "right")))
+            q = np.arange(at, end)
+            node, done, diff = self.root[q], np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8)
             for depth in range(len(self.levels) - 1, -1, -1):
-                mask, value = self.levels[depth]
-                diff = diff + np.bitwise_count((block[q] ^ value[node]) & mask[node] & ~done)
+                mask, value, first, count = self.levels[depth]
+                self.visits += len(node)
+                diff = diff + np.bitwise_count((self.codes[q] ^ value[node]) & mask[node] & ~done)
                 keep = diff <= most
                 q, node, diff = q[keep], node[keep], diff[keep]
                 if depth == 0 or not len(q):
                     break
-                done = mask[node]
-                below = len(self.levels[depth - 1][0])
-                child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                inside = child < below
-                q, diff, done = (np.repeat(x, FAN)[inside] for x in (q, diff, done))
-                node = child[inside]
-            yield q + at, node
+                done, times = mask[node], count[node]
+                below = np.repeat(first[node] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                q, diff, done, node = np.repeat(q, times), np.repeat(diff, times), np.repeat(done, times), below
+            once = q < node
+            yield q[once], node[once]
+            at = end
 
 
 def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -152,30 +171,14 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 def forest(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within each group; ``group`` ascends, codes are distinct within one."""
-    n = len(codes)
-    label = np.arange(n)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, n))
-    in_small = np.repeat(sizes <= SMALL, sizes)
-    i, j = [], []
-    for step in range(1, int(min(SMALL, sizes.max(initial=1)))):
-        a = np.flatnonzero((group[step:] == group[:-step]) & in_small[step:])
-        a = a[np.bitwise_count(codes[a] ^ codes[a + step]) <= most]
-        i.append(a)
-        j.append(a + step)
-    if i:
-        _hook(label, np.concatenate(i), np.concatenate(j))
-    for at in np.flatnonzero(sizes > SMALL):
-        lo, hi = starts[at], starts[at] + sizes[at]
-        order = lo + np.argsort(gray_rank(codes[lo:hi]), kind="stable")
-        index = GrayIndex(codes[lo:hi])
-        for q, found in index.search(index.codes, most):
-            once = q < found
-            _hook(label, order[q[once]], order[found[once]])
+    index = GrayIndex(codes, group)
+    label = np.arange(len(codes))
+    for q, found in index.search(most):
+        _hook(label, q, found)
     while not np.array_equal(up := label[label], label):
         label = up
-    moved = np.flatnonzero(label != np.arange(n))
-    return codes[moved], codes[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(codes)))
+    return index.codes[moved], index.codes[label[moved]]
 
 
 # -- all fingerprints ---------------------------------------------------------
