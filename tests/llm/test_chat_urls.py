@@ -34,6 +34,8 @@ def test_snapshots(spark):
     rows += [(50, t, "user", f"long {t}") for t in range(700)] + [(51, t, "user", f"long {t}") for t in range(300)]
     rows += [(60, 0, None, None), (61, 0, "user", ""), (None, 0, "user", "null log"), (70, 5, "user", "a"), (70, 5, "user", "b"), (70, None, "system", "s"), (70, 5, "user", "a")]
     rows += [(80, 0, "user", "text 0"), (80, 1, "user", "branch")]
+    rows += [(90, 0, "user", "very long " * 30_000)] * 40 + [(91, 0, "user", "very long " * 30_000), (91, 1, "tool", "end")]
+    rows += [(95, None, "user", f"loose {k}") for k in range(300)] + [(96, -3, "user", "below"), (96, 4, "user", "text 0"), (96, 2**40, "user", "far")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, pos int").repartition(5)
     got = {}
     for r in chat.format_chats(df).orderBy("part").collect():
