@@ -85,13 +85,58 @@ def test_repeated_ids_and_empty(spark):
     assert sd.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    for length in (3, 8, 9, 16, 50):
+        text = rng.integers(97, 99, 600).astype(np.uint8)
+        at = np.concatenate([rng.permutation(len(text) - length + 1), rng.integers(0, 40, 30)])
+        order, new = sd.ordered(text, at, length)
+        strings = [bytes(text[p : p + length]) for p in at]
+        assert [strings[k] for k in order] == sorted(strings)
+        assert list(new) == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(at))]
+
+
 def test_levels_stay_logarithmic():
     rng = np.random.default_rng(2)
-    levels, seen = sd.SuffixLevels(), {}
+    levels, seen, sizes = sd.SuffixLevels(6), {}, []
     for doc in range(64):
-        strings = np.array([bytes(rng.integers(97, 99, 6).astype(np.uint8)) for _ in range(30)], "S6")
-        hit = levels.add(strings, np.full(30, doc))
-        assert [seen.get(bytes(s), doc) < doc for s in strings] == list(hit)
+        text = rng.integers(97, 99, 35).astype(np.uint8)
+        at = np.arange(30)
+        strings = [bytes(text[p : p + 6]) for p in at]
+        hit = levels.add(text, at, np.full(30, doc))
+        assert [seen.get(s, doc) < doc for s in strings] == list(hit)
         for s in strings:
-            seen.setdefault(bytes(s), doc)
-        assert len(levels.levels) <= 12
+            seen.setdefault(s, doc)
+        sizes.append(len(levels.levels))
+    assert sizes == [(k + 1).bit_count() for k in range(64)]
+    assert sum(len(level.at) for _, level in levels.levels) == len(seen)
+
+
+def test_documents_use_several_levels(monkeypatch):
+    """Runs of one bucket go through a family of more than one level, and the spans are those of brute force."""
+    monkeypatch.setattr(sd, "STEP", 500)
+    rows = [(i, t.encode()) for i, t in corpus(300, 5)]
+    text = [b for _, b in rows if len(b) >= 50]
+    docs = np.array([i for i, b in rows if len(b) >= 50])
+    data, ends = np.frombuffer(b"".join(text), np.uint8), np.cumsum([len(b) for b in text])
+    start, count, _, _ = sd.runs(data, ends, ends - [len(b) for b in text])
+    owner = np.searchsorted(ends, start, "right")
+    levels = sd.SuffixLevels()
+    row, a, z = sd.search_bucket(sd.windows(data, start, count + sd.LENGTH - 1), docs[owner], levels)
+    assert levels.most > 1
+    got = np.zeros(len(data), bool)
+    for r, x, y in zip(row, a, z, strict=True):
+        got[start[r] + x : start[r] + y] = True
+    first, want = {}, np.zeros(len(data), bool)
+    for k, b in enumerate(text):
+        for i in range(len(b) - 49):
+            if first.setdefault(b[i : i + 50], k) < k:
+                want[ends[k] - len(b) + i : ends[k] - len(b) + i + 50] = True
+    assert (got == want).all()
+
+
+def test_one_range_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BATCH_BYTES", (400, 400))
+    own = corpus(60, 3)
+    rows = [(None, t) for _, t in own[:30]] + [(7, t) for _, t in own[30:]] + [(10**12, own[0][1]), (12, own[31][1])]
+    assert result(spark, rows) == brute(rows)

@@ -6,7 +6,7 @@ part, and each is judged on the input.
 
 The work is dealt so that equal strings meet without all suffixes travelling:
 
-1. Documents are dealt into batches of neighbouring doc_ids. A string's anchor
+1. Documents are dealt into batches of neighbouring doc_ids, by bytes. A string's anchor
    is the smallest hash among its substrings of ``GRAM`` bytes. It follows
    from the string alone, so equal strings have equal anchors, and runs of
    neighbouring strings share one (about one anchor for 13 bytes). Each batch
@@ -17,10 +17,13 @@ The work is dealt so that equal strings meet without all suffixes travelling:
    buckets; equal runs of a batch go once. Anchors that very many documents
    have (a common line, whose edges differ in each document) send string by
    string, dealt by the whole string, so they fill no single bucket.
-4. In a bucket the runs come in the order of doc_id, in batches. Each new
-   batch gets a suffix array of its strings; it is merge-scanned against the
-   levels, which hold all earlier ones, for matches; then it becomes a level,
-   and levels of equal size merge, so there are logarithmically many.
+4. In a bucket the runs come in the order of doc_id, in batches; equal runs are
+   combined. Each new batch gets a suffix array over its text (sorted to
+   ``LENGTH`` bytes, as longer matches consist of such); it is merge-scanned
+   against the levels, which hold all earlier ones, for equal strings; then it
+   becomes a level, and levels of equal class merge, so there are
+   logarithmically many. The family lives as long as its bucket's task: kept
+   over jobs, it would have to hold all suffixes of the input.
 5. Matches return to the documents as byte spans.
 
 Strings are compared byte by byte in steps 3 and 4, hashes only choose
@@ -35,6 +38,8 @@ each other; repeats within one document stay.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -47,15 +52,19 @@ from threadloom.llm.common import small_batches, text_or_empty
 LENGTH = 50
 GRAM = 25
 GRAMS = LENGTH - GRAM + 1
-#: Bits of doc_id that a batch leaves free: 512 neighbouring ids.
-BATCH_BITS = 9
 #: Strings looked at in one go.
 CHUNK = 1 << 19
 #: An anchor is hot if so many documents of a batch, or so many batches, have it.
 HOT_DOCS = 12
 HOT_BATCHES = 1024
-#: Strings of one batch of a bucket's index.
-STEP = 1 << 16
+#: Strings of one batch of a bucket's family at least, and batches of one bucket at most.
+STEP, STEPS = 1 << 14, 16
+#: Ranges of bytes of a batch of documents and of a bucket; within them both grow with the root of the input.
+BATCH_BYTES, BUCKET_BYTES = (1 << 20, 1 << 24), (1 << 22, 1 << 25)
+#: A batch of more than so many times its share is split by text.
+OVER = 4
+#: Split batches up to which their list is broadcast.
+BROADCAST = 50_000
 LONGEST = LENGTH + GRAMS - 1
 WIDTH = LONGEST + 1
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -193,42 +202,100 @@ def split_rows(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(at, [*at[1:], len(order)], strict=True)] if len(at) else []
 
 
+def ordered(text: np.ndarray, at: np.ndarray, length: int, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings of ``length`` bytes that start at ``at``, and which of them (in order) differ from the one before.
+
+    Eight bytes at a time as one number: positions are sorted by the first
+    eight, and ties, only those, by the next ones. With ``kind`` "stable",
+    parts of ``at`` that are in order already are merged in linear time.
+    """
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    steps = [min(k, max(length - 8, 0)) for k in range(0, length, 8)]
+
+    def word(p: np.ndarray, step: int) -> np.ndarray:
+        w = np.ascontiguousarray(words[p + step]).view(">u8").ravel().astype(U)
+        return w >> U(8 * (8 - length)) if length < 8 else w
+
+    key = word(at, 0)
+    order = np.argsort(key, kind=kind)
+    new = np.ones(len(at), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    for step in steps[1:]:
+        tied = np.flatnonzero(~new | np.r_[~new[1:], False]) if len(new) else np.empty(0, np.int64)
+        if not len(tied):
+            break
+        group = np.cumsum(new)[tied]
+        key = word(at[order[tied]], step)
+        turn = np.lexsort((key, group))
+        order[tied] = order[tied][turn]
+        key, same = key[turn], group[1:] == group[:-1]
+        new[tied[1:][same & (key[1:] != key[:-1])]] = True
+    return order, new
+
+
+class SuffixArray:
+    """Text of a batch of documents, the sorted starts of its strings (one for each distinct string) and the smallest document of each."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray):
+        self.text, self.at, self.docs = text, at, docs
+
+    @classmethod
+    def of(cls, text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
+        """Suffix array of a batch; also the entry of each of ``at``."""
+        order, new = ordered(text, at, length)
+        entry = np.empty(len(at), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return cls(text, at[order[first]], np.minimum.reduceat(docs[order], first) if len(first) else docs), entry
+
+    def scanned(self, other: SuffixArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge scan of two arrays: their joint text and starts, the joint order, and which entries differ from the one before."""
+        text = np.concatenate([self.text, other.text])
+        at = np.concatenate([self.at, other.at + len(self.text)])
+        return text, at, *ordered(text, at, length, "stable")
+
+
 class SuffixLevels:
-    """Strings of all earlier batches as sorted arrays whose sizes fall geometrically."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Take a batch in (documents not smaller than before); whether each of its strings also starts in a smaller document."""
-        order = np.argsort(strings, kind="stable")
-        s, d = strings[order], docs[order]
-        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        head = np.minimum.reduceat(d, at) if len(at) else d
-        own = s[at]
-        earliest = head.copy()
-        for level, level_docs in self.levels:
-            k = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            hit = level[k] == own
-            earliest[hit] = np.minimum(earliest[hit], level_docs[k[hit]])
-        fresh = earliest == head
-        found = np.empty(len(s), bool)
-        found[order] = d > earliest[np.cumsum(new) - 1] if len(s) else False
-        self.levels.append((own[fresh], head[fresh]))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            both, xy = np.concatenate([b, a]), np.concatenate([y, x])
-            order = np.argsort(both, kind="stable")
-            both, xy = both[order], xy[order]
-            keep = np.r_[True, both[1:] != both[:-1]] if len(both) else np.empty(0, bool)
-            self.levels.append((both[keep], xy[keep]))
-        self.levels = [x for x in self.levels if len(x[0])]
+    """Logarithmic family: suffix arrays of all earlier batches; a level of class k stands for 2^k batches.
+
+    A new batch is merge-scanned against each level for strings of ``length``
+    bytes that it shares with them; then it becomes a level of class 0, and
+    two levels of one class merge into one of the next.
+    """
+
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
+        self.levels: list[tuple[int, SuffixArray]] = []
+        self.most = 0
+
+    def add(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Take in a batch's strings (start in ``text`` and document; documents not smaller than before); whether each also starts in a smaller document."""
+        own, entry = SuffixArray.of(text, at, docs, self.length)
+        earliest = own.docs.copy()
+        for _, level in self.levels:
+            _, _, order, new = level.scanned(own, self.length)
+            # equal strings are neighbours, that of the level first
+            hit = np.flatnonzero(~new)
+            ours = order[hit] - len(level.at)
+            earliest[ours] = np.minimum(earliest[ours], level.docs[order[hit - 1]])
+        found = docs > earliest[entry] if len(at) else np.zeros(0, bool)
+        self.levels.append((0, own))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (k, b), (_, a) = self.levels.pop(), self.levels.pop()
+            joint, starts, order, new = a.scanned(b, self.length)
+            first, docs_ = np.flatnonzero(new), np.concatenate([a.docs, b.docs])[order]
+            self.levels.append((k + 1, SuffixArray(joint, starts[order[first]], np.minimum.reduceat(docs_, first) if len(first) else docs_)))
+        self.most = max(self.most, len(self.levels))
         return found
 
 
-def search_bucket(ctx: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (row, first byte, end byte) of a bucket's runs that also start in smaller documents."""
+def search_bucket(ctx: np.ndarray, docs: np.ndarray, levels: SuffixLevels | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, first byte, end byte) of a bucket's runs that also start in smaller documents.
+
+    Equal runs are combined first: only that of the smallest document goes
+    through the family, as all strings of the others start in that one too.
+    """
     n = len(docs)
     if not n:
         return (np.empty(0, np.int64),) * 3
@@ -245,18 +312,18 @@ def search_bucket(ctx: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
     out = [(full, np.zeros(len(full), np.int64), length[full])]
     # the strings of distinct runs, in the order of documents
     turn = np.argsort(docs[head], kind="stable")
-    levels, at = SuffixLevels(), 0
+    levels, at = levels or SuffixLevels(), 0
     spans: list[tuple[np.ndarray, ...]] = []
     numbers = length[head[turn]] - LENGTH + 1
     total = np.cumsum(numbers)
+    step = max(STEP, -(-int(total[-1]) // STEPS))
     while at < len(turn):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
         rows = head[turn[at:end]]
         many_ = numbers[at:end]
         row = np.repeat(np.arange(len(rows)), many_)
         off = np.arange(len(row)) - np.repeat(np.cumsum(many_) - many_, many_)
-        strings = np.ascontiguousarray(ctx[rows[row][:, None], 1 + off[:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
-        hit = levels.add(strings, docs[rows[row]])
+        hit = levels.add(ctx[rows, 1:].ravel(), row * LONGEST + off, docs[rows[row]])
         first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (row[1:] != row[:-1])]) if len(hit) else np.empty(0, np.int64)
         last = np.flatnonzero(hit & np.r_[~hit[1:] | (row[1:] != row[:-1]), True]) if len(hit) else first
         spans.append((turn[at:end][row[first]], off[first], off[last] + LENGTH))
@@ -292,13 +359,37 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, cols, types, strict=True)})
 
 
+def with_batches(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with the ``_batch`` of each row, and the number of buckets, both by bytes.
+
+    A batch is a range of doc_ids. One with far more bytes than its share (rows
+    without an id, repeated ids, long texts) is split by the texts' hashes.
+    """
+    spark, doc_id = docs.sparkSession, F.col("doc_id").cast("bigint")
+    size = F.octet_length(text_or_empty()).cast("bigint")
+    low, high, total = docs.agg(F.min(doc_id), F.max(doc_id), F.sum(size)).first()
+    total = total or 0
+    batch_bytes = min(max(BATCH_BYTES[0], 64 * math.isqrt(total)), BATCH_BYTES[1])
+    bucket_bytes = min(max(BUCKET_BYTES[0], 256 * math.isqrt(total)), BUCKET_BYTES[1])
+    buckets = max(4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // bucket_bytes))
+    span = (high or 0) - (low or 0) + 1
+    bits = min(62, max(0, (batch_bytes * span // max(1, total)).bit_length() - 1))
+    ranged = docs.withColumn("_batch", F.shiftright(F.coalesce(doc_id, F.lit(-(1 << 63))), bits))
+    large = ranged.groupBy("_batch").agg(F.sum(size).alias("_bytes")).filter(F.col("_bytes") > OVER * batch_bytes).select("_batch", F.ceil(F.col("_bytes") / F.lit(batch_bytes)).alias("_parts"))
+    n = large.count()
+    if n:
+        parted = ranged.join(F.broadcast(large) if n <= BROADCAST else large, "_batch", "left")
+        split = F.xxhash64("_batch", F.pmod(F.xxhash64(text_or_empty()), F.col("_parts")))
+        ranged = parted.withColumn("_batch", F.when(F.col("_parts").isNull(), F.col("_batch")).otherwise(split)).drop("_parts")
+    return ranged, buckets
+
+
 def covered_spans(docs: DataFrame, others: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
     """The dealt-out documents (``batch, doc_id, text`` as bytes, others as ``o_*``) and, by batch, the spans to remove."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    low_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    dealt = docs.select(F.shiftright(low_id, BATCH_BITS).alias("batch"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"), *[F.col(c).alias(f"o_{c}") for c in others])
+    ranged, buckets = with_batches(docs)
+    dealt = ranged.select(F.col("_batch").alias("batch"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("text"), *[F.col(c).alias(f"o_{c}") for c in others])
 
     def mark(key: tuple, rows: pa.Table) -> pa.Table:
         b = Batch(rows)
