@@ -63,6 +63,30 @@ def test_stages(spark, tmp_path):
     assert "pipeline" in __import__("__spark_entry__").queries()
 
 
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated doc_ids with equal and other texts, clashing names, and an empty table."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, "en", "s", 1, "x"), (4, text, None, None, None, "x"), (4, text, None, None, None, "y"), (4, "another text of four", "en", "s", 2, None), (None, None, None, None, None, None), (6, "", "en", "s", 0, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string"
+    labels = spark.createDataFrame([(4, 1, 0), (None, None, 1), (9, 0, None)], "doc_id long, quality int, toxic int")
+    for kind, some in (("rows", rows), ("none", [])):
+        folder = tmp_path / kind
+        labels.filter(str(kind == "rows").lower()).write.parquet(str(folder / "labels.parquet"))
+        docs = spark.createDataFrame(some, schema)
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(folder))
+            out.write.parquet(str(folder / name))
+            docs = spark.read.parquet(str(folder / name))
+            kept[name] = docs.collect()
+        if kind == "none":
+            assert not any(kept.values())
+            continue
+        assert len(kept["toxicity"]) == 6
+        assert sorted(((r.doc_id, r.text) for r in kept["near_dedup"]), key=str) == sorted([(4, text), (4, "another text of four"), (6, "")], key=str)
+        assert len(kept["substring_dedup"]) == 3 and len(kept["packing"]) == 3
+
+
 def test_characters_stay_whole(spark):
     shared = "漢字" * 30
     rows = [(1, "a" + shared + "b", "x"), (2, "é" + shared[5:] + "ü", "y"), (3, None, None)]

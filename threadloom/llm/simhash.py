@@ -29,7 +29,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, text_or_empty
@@ -243,17 +243,20 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
 
 # -- near copies of a given similarity ------------------------------------------
 
-#: Shingles that a sub-bag holds on average, and sub-bags of a document that are used.
-SUB_BAG = 4
-SUB_BAGS = 32
-#: Bits in which the fingerprints of near copies may differ; a first sieve before the exact similarity.
-SIEVE = 22
+#: Bits of a shingle's hash that name its counter in the sketch of frequencies.
+SLOT_BITS = 18
+#: Counters of one row of the sketch while it is summed up.
+SLOTS = 1 << 14
+#: Bits in which the fingerprints of near copies may differ, for sets of fewer than ``FEW_SHINGLES`` shingles and for others; a sieve before the exact similarity.
+SIEVE_FEW, SIEVE, FEW_SHINGLES = 28, 22, 32
 #: Size of a group up to which neighbours are candidates too.
 FEW = 8
 #: Size of a group up to which the first round meets all pairs.
 WHOLE = 4
 #: Pairs of fingerprints that are compared at a time.
 BLOCK = 1 << 22
+#: Members of one part of a large group; two parts at a time meet in a task.
+PART = 4_096
 #: Pairs up to which their ends are broadcast to the shingle sets.
 BROADCAST = 10_000
 
@@ -262,57 +265,85 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def sub_bag_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of a document's sub-bags: SimHashes of its distinct shingles, dealt by hash.
+def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
+    """Texts that have each shingle, counted in ``2**SLOT_BITS`` counters by hash, over all rows; of fixed size."""
 
-    The number of sub-bags is a power of two, so that near copies deal alike;
-    two powers are used, as near copies may lie on both sides of a step.
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(part, np.zeros(SLOTS, np.int64))
+                held[part] += np.frombuffer(blob.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["part", "counts"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            slots = [shingle_set(t.as_py(), width) >> np.uint64(64 - SLOT_BITS) for t in batch.column(0)]
+            total += np.bincount(np.concatenate([*slots, np.empty(0, np.uint64)]).astype(np.int64), minlength=1 << SLOT_BITS)
+        parts = total.reshape(-1, SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    partial = texts.select("text").mapInArrow(counted, schema)
+    # two rounds, so that no task reads the rows of all others
+    some = partial.repartition("part", F.spark_partition_id() % 64).mapInArrow(summed, schema)
+    whole = np.zeros((1 << SLOT_BITS) // SLOTS * SLOTS, np.int64).reshape(-1, SLOTS)
+    for r in some.repartition("part").mapInArrow(summed, schema).collect():
+        whole[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return whole.ravel()
+
+
+def prefix_keys(hashes: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles under which a document meets others: its rarest ones, as many as are needed.
+
+    Two sets of Jaccard similarity t or more share at least t times the larger
+    one's size, so each has one of the shared shingles among the first
+    n - ceil(t n) + 1 of its n in any fixed order. The order is by the sketch
+    (rare first) and then by hash; how good the sketch is decides only how many
+    documents meet under a key.
     """
     n = len(hashes)
     if not n:
-        return np.zeros(1, np.int64)
-    out = []
-    low = max(0, (n // SUB_BAG).bit_length() - 1)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if n else None
-    for power in (low, low + 1):
-        bag = (hashes >> np.uint64(7)) & np.uint64((1 << power) - 1)
-        used = bag < SUB_BAGS
-        order = np.argsort(bag[used], kind="stable")
-        own, rows = bag[used][order], bits[used][order]
-        if not len(own):
-            continue
-        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        size = np.diff(np.append(at, len(own)))
-        major = np.packbits(2 * np.add.reduceat(rows, at, axis=0, dtype=np.int32) > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        with np.errstate(over="ignore"):
-            key = (major ^ (own[at] * np.uint64(64) + np.uint64(power)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((key ^ (key >> np.uint64(31))).view(np.int64))
-    return np.concatenate(out)
-
-
-def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
-    """``a, b, key``: the candidates of a first round, linear in the rows, and the members of larger groups.
+        return np.empty(0, np.int64)
+    first = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    order = np.lexsort((hashes, sketch[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return hashes[order[:first]].view(np.int64)
+
+
+def may_be_alike(fp_a: np.ndarray, fp_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether fingerprints and sizes allow the similarity.
+
+    Sizes decide for certain. At a similarity of 0.8 fingerprints differ in 10
+    of 64 bits on average, so more than ``SIEVE`` has a chance below 1e-4.
+    """
+    few = np.minimum(size_a, size_b)
+    return (np.bitwise_count(fp_a ^ fp_b) <= np.where(few < FEW_SHINGLES, SIEVE_FEW, SIEVE)) & (few >= similarity * np.maximum(size_a, size_b) - 1e-9)
+
+
+def candidate_edges(keyed: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``a, b, size, key``: the candidates of a first round, linear in the rows, and the members of larger groups.
 
     Within each key each node meets the first and the last in Gray order, in
     small groups also its neighbours, in others also the node nearest to the
     majority of all bits, which in a group of copies is close to their common
     original; ``key`` is null. These are not all pairs of a group of more than
-    ``WHOLE``: each row of such a group comes out as ``node, fp, key``, for
-    ``open_pairs``. ``keyed``: ``key, fp, node``.
+    ``WHOLE``: each row of such a group comes out as ``node, fp, size, key``,
+    for ``open_pairs``. ``keyed``: ``key, fp, node, size``.
     """
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp", "node")
+    dealt = keyed.select("key", "fp", "node", "size").repartition("key").sortWithinPartitions("key", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray, parted: int | None) -> pa.RecordBatch:
+        def edges(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n_shingles: np.ndarray, parted: int | None) -> pa.RecordBatch:
             group = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             order = np.lexsort((gray_rank(fp.view(np.uint64)), group))
-            fp, node = fp[order].view(np.uint64), node[order]
+            fp, node, n_shingles = fp[order].view(np.uint64), node[order], n_shingles[order]
             start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(key) else group
             size = np.diff(np.append(start, len(key)))
             head, tail, own = start[group], (start + size - 1)[group], size[group]
-            i = np.arange(len(key))
-            few = i[1:][(own <= FEW)[1:] & (group[1:] == group[:-1])]
-            met = [np.stack([i, head]), np.stack([i, tail]), np.stack([few, few - 1])]
+            i = np.flatnonzero(own > 1)
+            few = i[(own[i] <= FEW) & (i > head[i])]
+            met = [np.stack([i, head[i]]), np.stack([i, tail[i]]), np.stack([few, few - 1])]
             many = np.flatnonzero(own > FEW)
             if len(many):
                 at = np.flatnonzero(np.r_[True, group[many][1:] != group[many][:-1]])
@@ -322,14 +353,16 @@ def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
                 nearest = np.lexsort((np.bitwise_count(fp[many] ^ np.repeat(major, n)), group[many]))
                 met.append(np.stack([many, np.repeat(many[nearest[at]], n)]))
             a, b = np.concatenate(met, axis=1)
-            near = (np.bitwise_count(fp[a] ^ fp[b]) <= sieve) & (node[a] != node[b])
+            near = may_be_alike(fp[a], fp[b], n_shingles[a], n_shingles[b], similarity) & (node[a] != node[b])
             a, b = node[a[near]], node[b[near]]
             large = own > WHOLE
             if parted is not None:
                 large |= key == parted
             ends = np.concatenate([np.minimum(a, b), node[large]]), np.concatenate([np.maximum(a, b), fp[large].view(np.int64)])
-            under = pa.array(np.concatenate([np.zeros(len(a), np.int64), key[large]]), mask=np.r_[np.ones(len(a), bool), np.zeros(large.sum(), bool)])
-            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), under], ["a", "b", "key"])
+            edge = np.r_[np.ones(len(a), bool), np.zeros(large.sum(), bool)]
+            under = pa.array(np.concatenate([np.zeros(len(a), np.int64), key[large]]), mask=edge)
+            sizes = pa.array(np.concatenate([np.zeros(len(a), np.int32), n_shingles[large].astype(np.int32)]), mask=edge)
+            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), sizes, under], ["a", "b", "size", "key"])
 
         held: list[tuple[np.ndarray, ...]] = []
         rows, parted = 0, None
@@ -337,57 +370,68 @@ def candidate_edges(keyed: DataFrame, sieve: int = SIEVE) -> DataFrame:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             rows += batch.num_rows
             if rows >= CHUNK:
-                key, fp, node = map(np.concatenate, zip(*held, strict=True))
+                columns = list(map(np.concatenate, zip(*held, strict=True)))
+                key = columns[0]
                 new = np.flatnonzero(key[1:] != key[:-1])
-                # a key with more rows than a chunk is worked on in parts that share one row
+                # a key with more rows than a chunk is worked on in parts that share one row; all its pairs meet in open_pairs
                 end = int(new[-1]) + 1 if len(new) else len(key)
                 if not len(new):
                     parted = key[0]
-                yield edges(key[:end], fp[:end], node[:end], parted)
+                yield edges(*(c[:end] for c in columns), parted)
                 at = end if len(new) else end - 1
-                held, rows = [(key[at:], fp[at:], node[at:])], len(key) - at
+                held, rows = [tuple(c[at:] for c in columns)], len(key) - at
         if held:
             yield edges(*map(np.concatenate, zip(*held, strict=True)), parted)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, size int, key bigint").distinct()
 
 
-def open_pairs(members: DataFrame, similarity: float, sieve: int = SIEVE) -> DataFrame:
+def open_pairs(members: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``a, b``: all pairs under one key that are not connected yet and may be alike, by fingerprint and size.
 
-    ``members``: ``key, fp, node, root, size``. A group is compared in blocks
-    of at most ``BLOCK`` pairs, which go out as they are found.
+    ``members``: ``key, fp, node, root, size``. Keys whose members are all
+    connected go first. A group is dealt to parts of about ``PART`` members, of
+    which two at a time meet in a task, in blocks of at most ``BLOCK`` pairs.
     """
-    dealt = members.select("key", "fp", "node", "root", "size").repartition("key").sortWithinPartitions("key", "node")
+    own = members.select("key", "fp", "node", "root", "size")
+    live = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
+    parted = own.join(live, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fp", "node", "root", "size")
+    dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "part", "node")
 
-    def pairs(fp: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(x: np.ndarray, y: np.ndarray, part: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (root == root[0]).all():
             return
-        step = max(1, BLOCK // len(fp))
-        for lo in range(0, len(fp), step):
-            hi = min(lo + step, len(fp))
-            near = (np.bitwise_count(fp[lo:hi, None] ^ fp[None, lo:]) <= sieve) & (root[lo:hi, None] != root[None, lo:])
+        # one part against itself, or the first part against the second
+        border = len(part) if x[0] == y[0] else int((part == x[0]).sum())
+        start = 0 if x[0] == y[0] else border
+        step = max(1, BLOCK // max(1, len(fp) - start))
+        for lo in range(0, border, step):
+            rows, cols = slice(lo, min(lo + step, border)), slice(max(lo, start) if x[0] == y[0] else start, len(fp))
+            near = may_be_alike(fp[rows, None], fp[None, cols], size[rows, None], size[None, cols], similarity) & (root[rows, None] != root[None, cols])
             i, j = np.nonzero(near)
-            i, j = i[i < j] + lo, j[i < j] + lo
-            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-            a, b = node[i[fits]], node[j[fits]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            i, j = i + rows.start, j + cols.start
+            i, j = i[i < j], j[i < j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            _, fp, node, root, size = map(np.concatenate, zip(*held, strict=True))
+            _, x, y, part, fp, node, root, size = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            yield from pairs(fp.view(np.uint64), node, root, size)
+            yield from pairs(x, y, part, fp.view(np.uint64), node, root, size)
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cuts = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1), batch.num_rows]
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns[:3]:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                if held and held[-1][0][0] != columns[0][lo]:
+                if held and any(held[-1][k][0] != columns[k][lo] for k in range(3)):
                     yield from flush()
                 held.append(tuple(c[lo:hi] for c in columns))
         if held:
@@ -396,34 +440,43 @@ def open_pairs(members: DataFrame, similarity: float, sieve: int = SIEVE) -> Dat
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
-    """``doc_id, component_id`` of every document; links join documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
-
-    Candidates are pairs of whole fingerprints within ``most`` bits (found by
-    the index), and pairs with an equal SimHash of a sub-bag of shingles: at
-    similarity 0.8 a sub-bag of four is left whole by chance about once in
-    three, and there are up to 32 of them in two dealings. Each candidate is
-    then held against the exact similarity, so documents that are less alike
-    are never joined. A first round takes few candidates of a large group of
-    one key; a second takes all pairs there that it has not connected.
+def row_key(columns: list[str]) -> list[Column]:
+    """``r1, r2``: 128 bits that stand for a row's values; null is not the empty text."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns] + [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(*own).alias("r1"), F.xxhash64(F.lit("second"), *own).alias("r2")]
+
+
+def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
+    """``r1, r2, doc_id, root, component_id`` of every row; ``root`` names its group.
+
+    Links join documents whose distinct shingles have a Jaccard similarity of
+    ``similarity`` or more. Candidates are pairs of whole fingerprints within
+    ``most`` bits (found by the index), and pairs that share one of their
+    rarest shingles, of which a link always has one (``prefix_keys``). A first
+    round takes few candidates of a large group of one key; a second takes all
+    pairs there that it has not connected. Each candidate is held against the
+    exact similarity, so documents that are less alike are never joined.
     Documents of equal shingle sets are one node throughout.
     """
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    spark = docs.sparkSession
+    source = docs.select(*row_key(docs.columns), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    sketch = spark.sparkContext.broadcast(frequency_sketch(source, width))
+
+    def node_of(hashes: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
-            fps = [majority_bits(s) for s in sets]
-            keys = [sub_bag_keys(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "size", "keys"])
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(3)]
+            node = pa.array([node_of(s) for s in sets], pa.int64())
+            fps = pa.array([majority_bits(s) for s in sets], pa.int64())
+            keys = pa.array([prefix_keys(s, sketch.value, similarity) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], node, fps, pa.array(map(len, sets), pa.int32()), keys], ["r1", "r2", "doc_id", "node", "fp", "size", "keys"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            # rows of one doc_id may have other texts
-            own = pa.array([xxhash.xxh64_intdigest(s, SEED) - (1 << 63) == n for s, n in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), pa.array(sets, pa.binary()).filter(own)], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,33 +484,33 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common) and bool(len(p)))
+                keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9 and bool(len(p)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    described = cut(source.mapInArrow(describe, "doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
+    described = cut(source.mapInArrow(describe, "r1 bigint, r2 bigint, doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
     # copies meet here, before the keys are dealt out; all rows of a node have its fingerprint and keys
-    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("r1", "r2")).alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     nodes = described_nodes.drop("keys")
-    met = cut(candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node")))
-    by_bag = met.filter("key is null").select("a", "b")
-    members = met.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
+    met = cut(candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node", "size"), similarity))
+    by_key = met.filter("key is null").select("a", "b")
+    members = met.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("fp"), "size")
     # fingerprints within a few bits: the index gives a forest over fingerprints
     ends = link(nodes.select("fp").distinct(), most)
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    edges = cut(by_bag.unionByName(by_bits).distinct())
+    edges = cut(by_key.unionByName(by_bits).distinct())
     wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    least = described.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(source.join(least, "doc_id").select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]))
+    rows = nodes.join(wanted, "node").select("node", "row.r1", "row.r2")
+    sets = cut(source.select("r1", "r2", "text").join(rows, ["r1", "r2"]).select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
         return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
 
     roots = connected_components(verified(edges, sets))
-    rooted = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "size"))
-    left = cut(open_pairs(members.join(rooted.select("node", "root", "size"), "node"), similarity).join(edges, ["a", "b"], "left_anti"))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"))
+    left = cut(open_pairs(members.join(rooted.select("node", "root"), "node"), similarity).join(edges, ["a", "b"], "left_anti"))
     n = left.count()
     if n:
         if n <= BROADCAST:
@@ -468,5 +521,31 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         last = connected_components(more).toDF("root", "last")
         rooted = rooted.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("node", "component_id")
-    return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = rooted.join(names, "root").select("node", "root", "component_id")
+    return described.select("r1", "r2", "doc_id", "node").join(named, "node").select("r1", "r2", "doc_id", "root", "component_id")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
+    """``doc_id, component_id`` of every row: the smallest doc_id of its group (null if none has one)."""
+    return similar_rows(docs, width, similarity, most).select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 2) -> DataFrame:
+    """One row of each group of near copies, all columns as they are: that of the smallest doc_id (null last).
+
+    Rows are told apart by all their values, so a doc_id that occurs with
+    several texts loses only the copies; of rows that are equal throughout, and
+    of several rows of the smallest doc_id, one stays.
+    """
+    rows = cut(similar_rows(docs, width, similarity, most))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("own"))
+    chosen = first.select("own.r1", "own.r2")
+    gone = rows.select("r1", "r2").distinct().join(chosen, ["r1", "r2"], "left_anti")
+    several = cut(rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").select("r1", "r2").join(chosen, ["r1", "r2"], "left_semi"))
+    keyed = docs.select("*", *[c.alias(f"_{k}") for k, c in zip(("r1", "r2"), row_key(docs.columns), strict=True)])
+    mark = lambda df: df.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"))
+    if several.isEmpty():
+        return keyed.join(mark(gone), ["_r1", "_r2"], "left_anti").select(docs.columns)
+    once = keyed.join(mark(gone.unionByName(several)), ["_r1", "_r2"], "left_anti").select(docs.columns)
+    again = keyed.join(mark(several), ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(docs.columns)
+    return once.unionByName(again)
