@@ -5,16 +5,19 @@ Each stage takes (spark, docs, sf_dir); ``docs`` has the columns of
 last return those. Each is written as Parquet and read again as the next one's
 input.
 
-- ``toxicity`` drops documents that the classifier gives ``REJECT`` or more.
-- ``near_dedup`` keeps the smallest doc_id of each group of documents whose
-  five-word shingles have a similarity of 0.8 or more.
+- ``toxicity`` drops documents that the classifier gives ``REJECT`` or more, the
+  score from which operator 2 calls a document toxic.
+- ``near_dedup`` keeps one row, that of the smallest doc_id, of each group of
+  documents whose five-word shingles have a similarity of 0.8 or more.
 - ``substring_dedup`` removes passages of 50 bytes and more that an earlier
   document has. A character of which some bytes would stay stays whole; a
   document of which nothing stays keeps an empty text; n_chars follows.
 - ``packing`` packs what is left into sequences of 2048 tokens.
 
-Defined results: null texts count as empty; rows that repeat a doc_id are one
-document for dropping; an empty table gives an empty result.
+Defined results: null texts count as empty; rows are told apart by all their
+values, so of rows of one doc_id each is kept or dropped by its own text, and of
+equal rows one stays; a null doc_id comes after all others; other columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from threadloom.llm.queries import vocab_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.similar_documents(docs)
-    later = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(later, "doc_id", "left_anti").select(COLUMNS)
+    return simhash.without_near_copies(docs.select(COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
