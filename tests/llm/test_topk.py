@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from threadloom.llm import topk
@@ -48,7 +50,10 @@ def test_several_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_TERMS", 300)
     rows = corpus(150, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(topk.query_blocks(docs)) > 3
+    asked = topk.query_terms(docs).cache()
+    blocks = [asked.filter(b).collect() for b in topk.query_blocks(asked)]
+    assert len(blocks) > 3 and all(sum(r.n for r in b) <= 300 or len(b) == 1 for b in blocks)
+    assert sorted(r.doc_id for b in blocks for r in b) == sorted(r.doc_id for r in asked.collect())
     got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in topk.search(docs, docs.filter("doc_id % 3 = 0"), 5).collect())
     assert got == brute(rows, [r for r in rows if r[0] % 3 == 0], 5)
 
@@ -60,3 +65,21 @@ def test_repeats_and_empty(spark):
     assert topk.search(docs.limit(0), docs.limit(0)).count() == 0
     assert topk.search(docs.limit(0), docs).count() == 0
     assert topk.search(docs, docs.limit(0)).count() == 0
+
+
+def test_blocks_below_the_threshold_are_not_read():
+    """Most postings of the queries' terms in a shard of several topics stay unread, and the best are those of a full scan."""
+    rnd, rng = random.Random(4), np.random.default_rng(4)
+    texts = [[f"t{i // 100}-{rnd.randrange(60)}" if rnd.random() < 0.5 else f"w{min(2999, int(rnd.paretovariate(0.4)))}" for _ in range(120)] for i in range(2000)]
+    own = [Counter(t) for t in texts]
+    shard = topk.Shard.build(list(range(2000)), [120] * 2000, [np.array([xxhash.xxh64_intdigest(w) for w in c], np.uint64) for c in own], [np.fromiter(c.values(), np.uint32, len(c)) for c in own])
+    shard.prepare(120.0)
+    df = Counter(w for c in own for w in c)
+    for at in rng.integers(0, 2000, 20):
+        words = sorted(own[at], key=xxhash.xxh64_intdigest)
+        idf = np.array([math.log(1 + (2000 - df[w] + 0.5) / (df[w] + 0.5)) for w in words])
+        top = topk.TopK(10)
+        shard.search(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), idf, top)
+        scores = [sum(i * c[w] * 2.2 / (c[w] + 1.2) for w, i in zip(words, idf, strict=True) if c[w]) for c in own]
+        assert list(top.doc) == sorted(range(2000), key=lambda d: (-round(scores[d], 9), d))[:10]
+    assert 0 < shard.read_ < shard.known / 2, (shard.read_, shard.known)

@@ -5,14 +5,22 @@ term the documents and frequencies, cut into blocks of ``BLOCK`` documents, of
 which the largest contribution is known once the global statistics are. The
 index is written once to the shared folder.
 
-Queries come in blocks of bounded size (``QUERY_TERMS`` terms of all queries
-together), so what is sent to all tasks has a fixed bound. For a block, the
-shards first give the document frequencies of its terms; from all of them
-follow the global statistics. Then each task runs the queries over its shards
-and keeps one running top k a query: a block of documents is skipped if the
-sum of its terms' block maxima cannot reach the k-th score so far; blocks are
-taken from the largest bound down, so that score rises early. The tasks'
-results merge exactly, as all use the same global statistics.
+The queries' terms are written to the shared folder once, and dealt by hash to
+blocks of bounded size (``QUERY_TERMS`` terms of all queries together; a block
+that is larger by chance is dealt again), so what is sent to all tasks has a
+fixed bound. For a block, the shards first give the document frequencies of its
+terms; from all of them follow the global statistics. Then each task runs the
+queries over its shards and keeps one running top k a query: a block of
+documents is skipped if the sum of its terms' block maxima cannot reach the
+k-th score so far; blocks are taken from the largest bound down, so that score
+rises early. The best of each task go to the shared folder block by block, so
+neither the plan nor the driver grows with the queries; they merge exactly, as
+all tasks use the same global statistics.
+
+Skipping is by whole blocks for all terms at once rather than by a moving
+pivot: the bounds of all blocks follow in one pass over block maxima, and no
+posting of a block below the threshold is read. ``Shard.known`` and
+``Shard.read_`` count postings of the queries' terms, and those that were read.
 
 Scores are rounded to nine decimals, so equal texts have equal scores; ties go
 to the smaller doc_id. Only documents that share a term
@@ -27,6 +35,7 @@ queries nor found; repeated rows are found each.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,11 +43,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut, text_or_empty
+from threadloom.llm.common import cut, ensure_checkpoint_dir, text_or_empty
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of one shard at most (a single longer text has a shard of its own).
@@ -63,6 +72,7 @@ class Shard:
 
     def __init__(self, docs, lengths, terms, starts, post_doc, post_tf):
         self.docs, self.lengths, self.terms, self.starts, self.post_doc, self.post_tf = docs, lengths, terms, starts, post_doc, post_tf
+        self.known = self.read_ = 0
 
     @classmethod
     def build(cls, docs: list[int], lengths: list[int], hashes: list[np.ndarray], counts: list[np.ndarray]) -> Shard:
@@ -121,6 +131,7 @@ class Shard:
         at, weight = at[own], idf[own]
         if not len(at):
             return
+        self.known += int((self.starts[at + 1] - self.starts[at]).sum())
         row = self.dense_row[at]
         common = row >= 0
         full = np.zeros(self.dense.shape[1])
@@ -142,10 +153,12 @@ class Shard:
             e = entry[some]
             size = self.block_start[e + 1] - self.block_start[e]
             post = np.repeat(self.block_start[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self.read_ += len(post)
             score = np.bincount(self.post_doc[post], np.repeat(entry_weight[some], size) * self.impact[post], self.n_blocks * BLOCK)
             most = score.reshape(self.n_blocks, BLOCK) + common_max[:, None]
             doc = np.flatnonzero((live[:, None] & (most > 0) & (most * (1 + 1e-9) >= top.least())).ravel())
             doc = doc[doc < len(self.docs)]
+            self.read_ += len(doc) * int(common.sum())
             if len(doc):
                 total = score[doc] + self.dense[doc] @ full
                 # sums of equal texts may differ in their last bits
@@ -210,58 +223,50 @@ def build_index(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, INDEX)
 
 
-def query_blocks(queries: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of query ids (first, last) of which each has a bounded number of words; only sizes by id are aggregated.
-
-    Ids are grouped into up to 4,096 ranges first, so the driver gets that many rows at most.
-    """
-    sized = queries.select(F.col("doc_id").alias("id"), (F.length(text_or_empty()) / 2 + 1).cast("bigint").alias("n"))
-    lo, hi, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
-    if lo is None:
-        return []
-    if total <= QUERY_TERMS * 2:
-        return [(lo, hi)]
-    width = -(-(hi - lo + 1) // 4096)
-    rows = sized.groupBy(F.floor((F.col("id") - lo) / F.lit(width)).alias("r")).agg(F.sum("n").alias("n")).orderBy("r").collect()
-    out, begin, held = [], None, 0
-    for r in rows:
-        if begin is not None and held + r.n > QUERY_TERMS * 2:
-            out.append((lo + begin * width, lo + r.r * width - 1))
-            begin, held = None, 0
-        begin, held = (r.r if begin is None else begin), held + r.n
-    out.append((lo + begin * width, hi))
-    return out
-
-
-def _query_terms(queries: DataFrame, first: int, last: int) -> list[tuple[int, np.ndarray]]:
-    """(id, sorted term hashes) of the queries of one bounded block."""
-    source = queries.filter(F.col("doc_id").between(first, last)).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``doc_id, terms`` (sorted hashes) ``, n`` of each distinct query that has words."""
+    source = queries.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.array(sorted({xxhash.xxh64_intdigest(w) for w in terms_of(t.as_py())}), np.uint64).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["doc_id", "terms"])
+            hashes = [np.array(sorted({xxhash.xxh64_intdigest(w) for w in terms_of(t.as_py())}), np.uint64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(map(len, hashes), pa.int64())], ["doc_id", "terms", "n"])
 
-    rows = source.mapInArrow(run, "doc_id bigint, terms binary").dropDuplicates().collect()
-    return [(r.doc_id, np.frombuffer(r.terms, np.uint64)) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.terms))) if r.terms]
+    return source.mapInArrow(run, "doc_id bigint, terms binary, n bigint").filter("n > 0").dropDuplicates(["doc_id", "terms"])
+
+
+def query_blocks(asked: DataFrame, most: int | None = None, own: Column | None = None, total: int | None = None, salt: int = 0) -> Iterator[Column]:
+    """Conditions of the blocks of ``query_terms`` rows; each block has at most ``most`` terms, or one query."""
+    most, rows = most or QUERY_TERMS, asked if own is None else asked.filter(own)
+    total = rows.agg(F.sum("n")).first()[0] if total is None else total
+    if not total:
+        return
+    part = F.pmod(F.xxhash64("doc_id", "terms", F.lit(salt)), F.lit(-(-4 * total // (3 * most))))
+    for r in rows.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).orderBy("part").collect():
+        mine = part == r["part"] if own is None else own & (part == r["part"])
+        if r["n"] <= most or r["rows"] == 1:
+            yield mine
+        else:
+            yield from query_blocks(asked, most, mine, r["n"], salt + 1)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, doc_id, score``: the best ``k`` of ``docs`` for each row of ``queries`` (both doc_id, text)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    index = cut(build_index(docs))
-    out = spark.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    index, all_asked = cut(build_index(docs)), cut(query_terms(queries))
+    found = f"{ensure_checkpoint_dir(spark).rstrip('/')}/found-{uuid.uuid4().hex}"
+    schema = "query_id bigint, doc_id bigint, score double"
+
     def totals(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pd.DataFrame({"n": [len(x) // 8 for x in pdf["lengths"]], "words": [int(np.frombuffer(x, np.int64).sum()) for x in pdf["lengths"]]})
 
     n, words = index.select("lengths").mapInPandas(totals, "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
     avgdl = max(words or 0, 1) / (n or 1)
-    for first, last in query_blocks(queries.filter("doc_id is not null")) if n else ():
-        asked = _query_terms(queries, first, last)
-        if not asked:
-            continue
+    spark.createDataFrame([], schema).write.parquet(found)
+    for block in query_blocks(all_asked) if n else ():
+        asked = [(r.doc_id, np.frombuffer(r.terms, np.uint64)) for r in sorted(all_asked.filter(block).collect(), key=lambda r: (r.doc_id, bytes(r.terms)))]
         terms = np.unique(np.concatenate([t for _, t in asked]))
         held = sc.broadcast(terms)
 
@@ -293,8 +298,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             q = np.repeat(np.array([q for q, _, _ in plan.value], np.int64), [len(b.doc) for b in best])
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([b.doc for b in best])), pa.array(np.concatenate([b.score for b in best]))], ["query_id", "doc_id", "score"])
 
-        out = out.unionByName(index.mapInArrow(run, "query_id bigint, doc_id bigint, score double"))
+        index.mapInArrow(run, schema).write.mode("append").parquet(found)
+        held.unpersist()
+        plan.unpersist()
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    out = spark.read.schema(schema).parquet(found)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
