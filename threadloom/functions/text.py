@@ -41,14 +41,20 @@ def trimmed(text: Column | str) -> Column:
 def parse_parts(content: Column | str) -> Column:
     """array<struct<type, content>> of a structured message; plain text is one text part.
 
-    Elements of a JSON array count if their type is a string and their content
-    (or else their text) is one.
+    Elements of a JSON array count if they are objects whose type is a string
+    that is not empty and whose content (or else whose text) is a string; others
+    are left out one by one. A text without any such element is plain.
     """
-    raw = F.from_json(col(content), "array<struct<type:string,content:string,text:string>>")
-    parts = F.transform(F.filter(raw, lambda p: p["type"].isNotNull() & F.coalesce(p["content"], p["text"]).isNotNull()), lambda p: F.struct(p["type"].alias("type"), F.coalesce(p["content"], p["text"]).alias("content")))
-    is_list = F.ltrim(col(content)).startswith("[")
+    items = F.try_variant_get(F.try_parse_json(col(content)), "$", "array<variant>")
+
+    def string_at(item: Column, name: str) -> Column:
+        value = F.try_variant_get(item, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
+
+    read = F.transform(items, lambda i: F.struct(F.nullif(string_at(i, "type"), F.lit("")).alias("type"), F.coalesce(string_at(i, "content"), string_at(i, "text")).alias("content")))
+    parts = F.filter(read, lambda p: p["type"].isNotNull() & p["content"].isNotNull())
     plain = F.array(F.struct(F.lit("text").alias("type"), col(content).alias("content")))
-    return F.when(is_list & (F.coalesce(F.size(parts), F.lit(0)) > 0), parts).otherwise(plain)
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, parts).otherwise(plain)
 
 
 def join_parts(parts: Column | str) -> Column:
@@ -56,27 +62,57 @@ def join_parts(parts: Column | str) -> Column:
     return F.array_join(F.filter(F.transform(col(parts), lambda p: trimmed(p["content"])), lambda t: F.length(t) > 0), "\n\n")
 
 
-def host_part_text(part: Column) -> Column:
-    """Text of one host part (struct with type, text, filename, url, tool, status, output, error, ...)."""
-    g = lambda name: F.coalesce(part[name], F.lit(""))
-    tool = F.when(part["status"] == "completed", F.concat(F.lit("[Tool: "), g("tool"), F.lit("]\n"), g("output"))).when(part["status"] == "error", F.concat(F.lit("[Tool error: "), g("tool"), F.lit("]\n"), g("error"))).otherwise(F.concat(F.lit("[Tool: "), g("tool"), F.lit("]")))
-    return (
-        F.when(part["type"].isin("text", "reasoning"), g("text"))
-        .when(part["type"] == "file", F.coalesce(F.nullif(part["text"], F.lit("")), F.nullif(part["filename"], F.lit("")), g("url")))
-        .when(part["type"] == "tool", tool)
-        .when(part["type"].isin("subtask", "step-start", "step-finish", "snapshot", "patch", "agent", "retry", "compaction"), F.concat(F.lit("["), part["type"], F.lit("] "), g("text")))
-        .otherwise("")
-    )
+#: What stands for parts of a host message.
+STEP_STARTED, COMPACTED, COMPACTED_BY_ITSELF = "[Step started]", "[Compaction]", "[Automatic compaction]"
+
+
+def stringify_unknown(json: Column | str, path: str) -> Column:
+    """The value at a path of a JSON text: a string as it is, any other as JSON; 'null' if there is none."""
+    return F.coalesce(F.get_json_object(col(json), path), F.lit("null"))
+
+
+def host_part_text(part: Column | str) -> Column:
+    """Text of one host part, given as JSON: one rendering for each of the twelve types, empty for others."""
+    at = lambda path: F.get_json_object(col(part), f"$.{path}")
+    text = lambda path: F.coalesce(at(path), F.lit(""))
+    lines = lambda *rows: F.array_join(F.filter(F.array(*rows), lambda x: F.length(x) > 0), "\n")
+    status = at("state.status")
+    end = F.when(status == "completed", F.concat(F.lit("Output: "), text("state.output"))).when(status == "error", F.concat(F.lit("Error: "), text("state.error"))).otherwise("")
+    tool = lines(F.concat(F.lit("[Tool "), text("tool"), F.lit("]")), F.concat(F.lit("Input: "), stringify_unknown(part, "$.state.input")), end)
+    files = F.array_join(F.from_json(at("files"), "array<string>"), "\n")
+    by_type = {
+        "text": text("text"),
+        "reasoning": text("text"),
+        "file": F.coalesce(at("source.text.value"), at("filename"), text("url")),
+        "tool": tool,
+        "subtask": F.concat(text("description"), F.lit("\n"), text("prompt")),
+        "step-start": F.coalesce(at("snapshot"), F.lit(STEP_STARTED)),
+        "step-finish": lines(text("reason"), text("snapshot")),
+        "snapshot": text("snapshot"),
+        "patch": F.concat(F.lit("Patch "), text("hash"), F.lit("\n"), F.coalesce(files, F.lit(""))),
+        "agent": F.coalesce(at("source.value"), text("name")),
+        "retry": F.concat(F.lit("Retry "), text("attempt"), F.lit(": "), text("error.data.message")),
+        "compaction": F.when(at("auto") == "true", COMPACTED_BY_ITSELF).otherwise(COMPACTED),
+    }
+    out = F.lit("")
+    for kind, value in by_type.items():
+        out = F.when(at("type") == kind, value).otherwise(out)
+    return out
+
+
+#: Where a large text names its file. A tag, a comment at the head of a code block, and the end of a path.
+FILE_TAG = rf'<file[{BLANK}]+path="([^"]+)"'
+CODE_COMMENT = rf"```[^\n]*\n//[{BLANK}]*(?:path:[{BLANK}]*)?([^{BLANK}]+\.[a-zA-Z0-9]+)"
+EXTENSION = r"\.[a-zA-Z0-9]{1,10}\z"
 
 
 def detect_path(text: Column | str) -> Column:
-    """A file path that a large text names: a file tag, a code block's first comment, or a first line that looks like one; null if none."""
+    """A file path that a large text names: a file tag, a code block's first comment, or a first line without blanks that looks like one; null if none."""
     t = col(text)
-    tag = F.nullif(F.regexp_extract(t, r'<file\s+path="([^"]+)"', 1), F.lit(""))
-    fence = F.nullif(F.regexp_extract(t, r"```[^\n]*\n\s*(?://|#|/\*|<!--)\s*([^\s*]+[/\\.][^\s*]+)", 1), F.lit(""))
+    named = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (FILE_TAG, CODE_COMMENT)]
     first = trimmed(F.substring_index(t, "\n", 1))
-    looks = first.rlike(r"^\S*[/\\]\S*\.[A-Za-z0-9]{1,10}$")
-    return F.coalesce(tag, fence, F.when(looks, first))
+    looks = ~first.contains(" ") & (first.contains("/") | first.contains("\\")) & first.rlike(EXTENSION)
+    return F.coalesce(*named, F.when(looks, first))
 
 
 def escape_xml(text: Column | str) -> Column:
@@ -99,6 +135,11 @@ def search_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(col(text), F.lit(""))), plain, ascii_), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def iso_from_millis(millis: Column | str) -> Column:
+    """ISO-8601 text in UTC, with milliseconds, of milliseconds since 1970."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(col(millis)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def utc_minute(ts: Column | str) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd HH:mm")
 

@@ -34,6 +34,12 @@ def prompt(texts: Column, roles: Column, times: Column, depth: int, level: str)
     return F.concat(F.lit(f"{goal}{extra}\n\n"), F.array_join(blocks, "\n---\n"))
 
 
+def hook_status(described: DataFrame) -> DataFrame:
+    """``conversation_id, text``: what the host's compaction hook adds to its prompt, from ``session.describe``."""
+    parts = [F.lit("Stored: "), F.col("n_messages").cast("string"), F.lit(" messages, "), F.col("n_summaries").cast("string"), F.lit(" summaries, depth "), F.col("max_depth").cast("string"), F.lit("; not summarized: "), F.col("active").cast("string"), F.lit(".")]
+    return described.select("conversation_id", F.concat(*parts).alias("text"))
+
+
 def should_summarize(n_messages: Column, n_tokens: Column, config: EngineConfig) -> Column:
     return (n_messages >= config.summarize_after_messages) | (n_tokens >= config.summarize_after_tokens)
 
@@ -154,18 +160,54 @@ def truncate(tables: dict[str, DataFrame], budget: int, only: DataFrame | None =
 
 
 def compact(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words) -> dict[str, DataFrame]:
-    """One compaction of all conversations; each step is checkpointed, so the plan stays short."""
-    keep = lambda t: t | {k: checkpointed(t[k]) for k in ("summaries", "summary_messages", "summary_parents")}
+    """One compaction of all conversations.
+
+    Conversations at the deterministic level are truncated first; levels are
+    derived again before leaves are made, for each depth of condensation, and
+    before the last truncation. A depth without enough summaries is passed
+    over, deeper ones still condense. Only what is new is checkpointed.
+    """
+    return run(tables, config, summarizer)[0]
+
+
+def run(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``compact``, and its result: ``conversation_id, n_created, depth, tokens_processed``."""
+    cols = ["id", "conversation_id", "depth", "content", "token_count", "created_at", "compaction_level"]
+    open_ = tables["messages"]
+    tables = tables | {"summaries": tables["summaries"].select(cols)}
+
+    def truncated(now: dict[str, DataFrame], levels: DataFrame) -> dict[str, DataFrame]:
+        hard = levels.filter("level = 'deterministic'").select("conversation_id")
+        if hard.isEmpty():
+            return now
+        out = truncate(now, config.condensed_summary_budget, hard)
+        return out | {k: checkpointed(out[k]) for k in ("summaries", "summary_messages")}
+
+    tables = truncated(tables, checkpointed(state(tables, config)))
     levels = checkpointed(state(tables, config))
-    hard = levels.filter("level = 'deterministic'").select("conversation_id")
-    tables = keep(truncate(tables, config.condensed_summary_budget, hard))
     made, links = leaf_summaries(tables, config, summarizer, levels)
-    cols = ["id", "conversation_id", "depth", "content", "token_count", "created_at", "compaction_level"]
-    tables = keep(tables | {"summaries": tables["summaries"].select(cols).unionByName(made), "summary_messages": tables["summary_messages"].unionByName(links)})
+    made, links = checkpointed(made), checkpointed(links)
+    sources = links.join(open_.select(F.col("id").alias("message_id"), "conversation_id", "token_count"), "message_id").select("conversation_id", "token_count")
+    created = made.select("conversation_id")
+    tables = tables | {"summaries": tables["summaries"].unionByName(made), "summary_messages": tables["summary_messages"].unionByName(links)}
+    changed = not made.isEmpty()
     for depth in range(config.max_summary_depth):
+        if changed:
+            levels = checkpointed(state(tables, config))
         made, edges = condense(tables, depth, levels, config, summarizer)
-        made = checkpointed(made)
-        if made.isEmpty():
-            break
-        tables = keep(tables | {"summaries": tables["summaries"].unionByName(made), "summary_parents": tables["summary_parents"].unionByName(edges)})
-    return keep(truncate(tables, config.condensed_summary_budget, hard))
+        made, edges = checkpointed(made), checkpointed(edges)
+        changed = not made.isEmpty()
+        if not changed:
+            continue
+        below = edges.join(tables["summaries"].select(F.col("id").alias("child_id"), "conversation_id", "token_count"), "child_id")
+        sources, created = sources.unionByName(below.select("conversation_id", "token_count")), created.unionByName(made.select("conversation_id"))
+        tables = tables | {"summaries": tables["summaries"].unionByName(made), "summary_parents": tables["summary_parents"].unionByName(edges)}
+    tables = truncated(tables, checkpointed(state(tables, config)))
+    result = tables["messages"].select("conversation_id").distinct()
+    for part in (
+        created.groupBy("conversation_id").agg(F.count("*").alias("n_created")),
+        dag.roots(tables["summaries"], tables["summary_parents"]).groupBy("conversation_id").agg(F.max("depth").alias("depth")),
+        sources.groupBy("conversation_id").agg(F.sum("token_count").alias("tokens_processed")),
+    ):
+        result = result.join(part, "conversation_id", "left")
+    return tables, result.na.fill(0)

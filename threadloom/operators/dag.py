@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from threadloom.sources.checkpoint import checkpointed
 
-#: Levels that a walk goes up or down at most; a valid DAG has far fewer.
-MOST_LEVELS = 32
-
 
 def roots(summaries: DataFrame, edges: DataFrame) -> DataFrame:
     """Summaries of any depth without a parent."""
@@ -43,20 +40,21 @@ def with_lists(summaries: DataFrame, edges: DataFrame, links: DataFrame) -> Data
     return summaries.join(parents, "id", "left").join(ids, "id", "left").withColumns({c: F.coalesce(c, empty) for c in ("parent_ids", "message_ids")})
 
 
-def descendants(starts: DataFrame, edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def descendants(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """``root_id, id, lvl, path``: each start (column ``id``) and all below it, once for each way down.
 
-    Levels are joined one after the other until none is left; a node on its own
-    path is not followed, so cycles end.
+    Levels are joined one after the other until none is left, however deep; each
+    is checkpointed, so it is made once. A node on its own path is not followed,
+    so cycles end.
     """
     level = starts.select(F.col("id").alias("root_id"), "id", F.lit(0).alias("lvl"), F.array("id").alias("path"))
-    out, down = level, edges.select(F.col("parent_id").alias("id"), "child_id")
-    for k in range(1, most + 1):
-        level = level.join(down, "id").filter(~F.array_contains("path", F.col("child_id"))).select("root_id", F.col("child_id").alias("id"), F.lit(k).alias("lvl"), F.array_append("path", F.col("child_id")).alias("path"))
+    out, down, k = level, edges.select(F.col("parent_id").alias("id"), "child_id"), 0
+    while True:
+        k += 1
+        level = checkpointed(level.join(down, "id").filter(~F.array_contains("path", F.col("child_id"))).select("root_id", F.col("child_id").alias("id"), F.lit(k).alias("lvl"), F.array_append("path", F.col("child_id")).alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def tree(summaries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,17 +65,21 @@ def tree(summaries: DataFrame, edges: DataFrame) -> DataFrame:
 def coverage(summaries: DataFrame, edges: DataFrame, links: DataFrame, messages: DataFrame) -> DataFrame:
     """``id, first_seq, last_seq, n_messages`` that a summary covers with all below it.
 
-    Ranges move up the edges by levels and are combined at each, so a message
-    travels once, not once for every ancestor.
+    Each summary's own range and count go to those above it, once for each of
+    them, however many ways lead up; messages do not travel. A walk takes a
+    summary to each ancestor once, so it ends on cycles.
     """
     own = links.join(messages.select(F.col("id").alias("message_id"), "sequence_number"), "message_id").groupBy(F.col("summary_id").alias("id")).agg(F.min("sequence_number").alias("lo"), F.max("sequence_number").alias("hi"), F.count("*").alias("n"))
-    level, total = own, own
-    for _ in range(MOST_LEVELS):
-        level = level.join(edges.select(F.col("child_id").alias("id"), "parent_id"), "id").groupBy(F.col("parent_id").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    up = edges.select(F.col("child_id").alias("at"), "parent_id").distinct()
+    level = own.select("id", F.col("id").alias("at"))
+    seen = level
+    while True:
+        higher = level.join(up, "at").select("id", F.col("parent_id").alias("at")).distinct()
+        level = checkpointed(higher.join(seen, ["id", "at"], "left_anti"))
         if level.isEmpty():
             break
-        total = total.unionByName(level)
-    ranges = total.groupBy("id").agg(F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"), F.sum("n").alias("n_messages"))
+        seen = seen.unionByName(level)
+    ranges = seen.join(own, "id").groupBy(F.col("at").alias("id")).agg(F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"), F.sum("n").alias("n_messages"))
     return summaries.select("id").join(ranges, "id", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))
 
 

@@ -39,11 +39,33 @@ def message_parts(batch: DataFrame) -> DataFrame:
 
 
 def host_messages(batch: DataFrame) -> DataFrame:
-    """``id, content`` of host messages whose ``parts`` are structs: texts that are not blank, parted by blank lines."""
+    """``id, content`` of host messages whose ``parts`` are JSON texts: texts that are not blank, parted by blank lines."""
     texts = F.filter(F.transform("parts", lambda p: host_part_text(p)), lambda t: F.length(trimmed(t)) > 0)
     return batch.select("id", trimmed(F.array_join(texts, "\n\n")).alias("content"))
 
 
+def model_ids(batch: DataFrame) -> DataFrame:
+    """``conversation_id, provider_id, model_id`` of host messages (conversation_id, arrival, info as JSON): those of the first message.
+
+    A user's message holds them under ``model``; a conversation without any has the engine's own name.
+    """
+    at = lambda path: F.get_json_object("info", path)
+    own = {c: F.when(at("$.role") == "assistant", at(f"$.{key}")).otherwise(at(f"$.model.{key}")) for c, key in (("provider_id", "providerID"), ("model_id", "modelID"))}
+    first = batch.select("conversation_id", "arrival", *[v.alias(c) for c, v in own.items()]).groupBy("conversation_id").agg(F.min_by(F.struct(*own), "arrival").alias("m"))
+    return first.select("conversation_id", *[F.coalesce(f"m.{c}", F.lit("threadloom")).alias(c) for c in own])
+
+
+def lookup(messages: DataFrame, conversation: str, ids: list[str]) -> DataFrame:
+    """Messages of one conversation by id; the condition reaches the scan."""
+    return messages.filter((F.col("conversation_id") == conversation) & F.col("id").isin(ids))
+
+
+def new_session(conversations: DataFrame, conversation: str, at: Column | None = None) -> DataFrame:
+    """The row of a session that begins anew; none if it exists."""
+    wanted = conversations.sparkSession.range(1).select(F.lit(conversation).alias("conversation_id"), (at if at is not None else F.current_timestamp()).alias("created_at"))
+    return ensure_conversations(conversations, wanted)
+
+
 def mark_summarized(links: DataFrame, new: DataFrame) -> DataFrame:
     """Links with ``new`` ones (summary_id, message_id, pos) added; those that exist stay as they are."""
     return links.unionByName(new.dropDuplicates(["summary_id", "message_id"]).join(links.select("summary_id", "message_id"), ["summary_id", "message_id"], "left_anti"))

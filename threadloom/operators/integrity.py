@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.config import EngineConfig
 from threadloom.operators import context, dag
+from threadloom.sources.checkpoint import checkpointed
 
 BY = "conversation_id"
 SHOWN = 5
@@ -19,8 +23,12 @@ def _shown(ids: Column) -> Column:
     return F.concat(F.array_join(F.slice(ids, 1, SHOWN), ", "), F.when(n > SHOWN, F.concat(F.lit(" (+"), (n - SHOWN).cast("string"), F.lit(" more)"))).otherwise(""))
 
 
-def _check(name: str, conversations: DataFrame, bad: DataFrame) -> DataFrame:
-    """``bad``: conversation_id, item; a conversation without items passes."""
+def _check(name: str, conversations: DataFrame, check: Callable[[], DataFrame]) -> DataFrame:
+    """``check`` gives conversation_id, item; a conversation without items passes. A check that raises is a warning."""
+    try:
+        bad = check()
+    except Exception as error:  # noqa: BLE001
+        return conversations.select(BY, F.lit(name).alias("name"), F.lit("warn").alias("status"), F.lit(0).alias("n_bad"), F.lit(f"check failed: {str(error).splitlines()[0] if str(error) else type(error).__name__}").alias("details"))
     listed = bad.groupBy(BY).agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = conversations.join(listed, BY, "left")
     n = F.coalesce(F.size("items"), F.lit(0))
@@ -64,9 +72,10 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     return alone.unionByName(broken)
 
 
-def over_budget(tables: dict[str, DataFrame], config: EngineConfig) -> DataFrame:
+def over_budget(tables: dict[str, DataFrame], config: EngineConfig, budget: int | None = None) -> DataFrame:
+    """Conversations whose assembled context has more tokens than ``budget`` (the configuration's, if none is given)."""
     totals = context.token_totals(context.assemble(tables, config))
-    return totals.filter(F.col("tokens") > config.max_context_tokens).select(BY, F.col("tokens").cast("string").alias("item"))
+    return totals.filter(F.col("tokens") > (config.max_context_tokens if budget is None else budget)).select(BY, F.col("tokens").cast("string").alias("item"))
 
 
 def index_mismatches(tables: dict[str, DataFrame], indexed: DataFrame) -> DataFrame:
@@ -85,25 +94,31 @@ def file_mismatches(tables: dict[str, DataFrame]) -> DataFrame:
 def run_checks(tables: dict[str, DataFrame], config: EngineConfig, indexed: DataFrame | None = None) -> DataFrame:
     """``conversation_id, name, status, n_bad, details`` of all checks."""
     conversations = tables["messages"].select(BY).unionByName(tables["summaries"].select(BY)).distinct()
-    links = orphan_links(tables).select(BY, F.concat_ws(">", "summary_id", "message_id").alias("item"))
-    found = [("message-ordering", ordering(tables)), ("summary-coverage", links), ("dag-acyclicity", cycles(tables)), ("depth-consistency", depth_mismatches(tables)), ("orphan-detection", orphans(tables)), ("token-budget", over_budget(tables, config))]
+    links = lambda t: orphan_links(t).select(BY, F.concat_ws(">", "summary_id", "message_id").alias("item"))
+    found = [("message-ordering", ordering), ("summary-coverage", links), ("dag-acyclicity", cycles), ("depth-consistency", depth_mismatches), ("orphan-detection", orphans), ("token-budget", lambda t: over_budget(t, config))]
     if indexed is not None:
-        found.append(("fts-sync", index_mismatches(tables, indexed)))
+        found.append(("fts-sync", lambda t: index_mismatches(t, indexed)))
     if "large_files" in tables:
-        found.append(("large-file-consistency", file_mismatches(tables)))
+        found.append(("large-file-consistency", file_mismatches))
     out = None
-    for name, bad in found:
-        rows = _check(name, conversations, bad)
+    for name, check in found:
+        rows = _check(name, conversations, partial(check, tables))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def summary_of(report: DataFrame) -> DataFrame:
-    return report.groupBy(BY).agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"))
+    return report.groupBy(BY).agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in (("pass", "passed"), ("fail", "failed"), ("warn", "warned"))])
 
 
 def repair(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables without orphan links, and the links that went."""
-    gone = orphan_links(tables)
+    """Tables without orphan links, and the actions taken: ``conversation_id, action, summary_id, message_id``.
+
+    Without orphan links the tables are those given.
+    """
+    gone = checkpointed(orphan_links(tables))
+    actions = gone.select(BY, F.lit("removed link").alias("action"), "summary_id", "message_id")
+    if gone.isEmpty():
+        return tables, actions
     links = tables["summary_messages"].join(gone.select("summary_id", "message_id"), ["summary_id", "message_id"], "left_anti")
-    return tables | {"summary_messages": links}, gone
+    return tables | {"summary_messages": links}, actions

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import accent_map, search_tokens
+from threadloom.functions.text import accent_map, col, search_tokens, utc_minute
 
 #: BM25's constants, and the idf of terms that half of all texts have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -18,44 +19,116 @@ DEFAULT_LIMIT = 20
 
 @dataclass(frozen=True)
 class Phrase:
-    """Consecutive tokens; the last may be a prefix."""
+    """Consecutive tokens; the last may be a prefix, and ``first`` ones stand at the beginning of a text."""
 
     tokens: tuple[str, ...]
     prefix: bool = False
+    first: bool = False
 
-    def count(self, doc: Column) -> Column:
-        """Occurrences in a token array."""
-        last = self.tokens[-1]
-        if len(self.tokens) == 1:
-            return F.size(F.filter(doc, lambda t: t.startswith(last) if self.prefix else t == last))
+    def fits(self, k: int, token: Column) -> Column:
+        """Whether a token is the phrase's ``k``-th."""
+        word = self.tokens[k]
+        return token.startswith(word) if self.prefix and k == len(self.tokens) - 1 else token == word
+
+    def starts(self, doc: Column) -> Column:
+        """Places (from 0) of a token array at which the phrase begins; null if it is no text's."""
         m = len(self.tokens)
-        at = F.sequence(F.lit(0), F.greatest(F.size(doc) - m, F.lit(0)))
+        at = F.array(F.lit(0)) if self.first else F.sequence(F.lit(0), F.greatest(F.size(doc) - m, F.lit(0)))
 
         def here(i: Column) -> Column:
             out = F.size(doc) >= m
-            for k, word in enumerate(self.tokens):
-                t = F.get(doc, i + k)
-                out = out & F.coalesce(t.startswith(word) if self.prefix and k == m - 1 else t == word, F.lit(False))
+            for k in range(m):
+                out = out & F.coalesce(self.fits(k, F.get(doc, i + k)), F.lit(False))
             return out
 
-        whole = self.tokens[:-1] if self.prefix else self.tokens
         present = F.lit(True)
-        for word in set(whole):
+        for word in set(self.tokens[:-1] if self.prefix else self.tokens):
             present = present & F.array_contains(doc, word)
-        return F.when(present, F.size(F.filter(at, here))).otherwise(0)
+        return F.when(present, F.filter(at, here))
+
+    def count(self, doc: Column) -> Column:
+        """Occurrences in a token array."""
+        if len(self.tokens) == 1 and not self.first:
+            return F.size(F.filter(doc, lambda t: self.fits(0, t)))
+        return F.coalesce(F.size(self.starts(doc)), F.lit(0))
+
+
+def near_counts(phrases: list[Phrase], starts: list[Column], distance: int) -> list[Column]:
+    """Occurrences of each phrase that stand in a group of all of them: the last begins at most ``distance`` tokens after the end of the first."""
+    places = [F.coalesce(s, F.array().cast("array<int>")) for s in starts]
+    within = lambda k, begin, at: (at >= begin) & (at <= begin + len(phrases[k].tokens) + distance)
+
+    def begins(k: int) -> Column:
+        def whole(begin: Column) -> Column:
+            out = F.lit(True)
+            for other in range(len(phrases)):
+                if other != k:
+                    out = out & F.exists(places[other], lambda at: within(k, begin, at))
+            return out
+
+        return F.filter(places[k], whole)
+
+    groups = [begins(k) for k in range(len(phrases))]
+
+    def inside(at: Column) -> Column:
+        out = F.lit(False)
+        for k in range(len(phrases)):
+            out = out | _reached(groups[k], at, lambda begin, at, k=k: within(k, begin, at))
+        return out
+
+    return [F.size(F.filter(p, inside)) for p in places]
+
+
+def _reached(begins: Column, at: Column, test: Callable[[Column, Column], Column]) -> Column:
+    return F.exists(begins, lambda begin: test(begin, at))
 
 
 @dataclass
 class Query:
-    """A tree over phrases: ('phrase', n), ('and' | 'or' | 'not', left, right)."""
+    """A tree over phrases: ('phrase', n), ('near', [n, ...], distance), ('none',), ('and' | 'or' | 'not', left, right)."""
 
     tree: tuple | None
     phrases: list[Phrase] = field(default_factory=list)
 
+    def groups(self) -> list[tuple[list[int], int]]:
+        def walk(node: tuple) -> Iterator[tuple[list[int], int]]:
+            if node[0] == "near":
+                yield node[1], node[2]
+            elif node[0] in ("and", "or", "not"):
+                yield from walk(node[1])
+                yield from walk(node[2])
+
+        return list(walk(self.tree)) if self.tree else []
+
+    def counts(self, doc: Column) -> list[Column]:
+        """Occurrences of each phrase in a token array; those of a NEAR group only where the group stands. Then, for each of a group, all of its occurrences, which decide how many texts have it."""
+        out = [p.count(doc) for p in self.phrases]
+        own_all = [out[k] for k in self.grouped()]
+        for members, distance in self.groups():
+            own = [self.phrases[k] for k in members]
+            for k, n in zip(members, near_counts(own, [p.starts(doc) for p in own], distance), strict=True):
+                out[k] = n
+        return out + own_all
+
+    def grouped(self) -> list[int]:
+        return [k for members, _ in self.groups() for k in members]
+
+    def texts_with(self, counts: list[Column]) -> list[Column]:
+        """Number of rows that have each phrase, from columns as ``counts`` gives them."""
+        n = len(self.phrases)
+        every = list(counts[:n])
+        for at, k in enumerate(self.grouped()):
+            every[k] = counts[n + at]
+        return [F.count_if(c > 0).alias(f"df{k}") for k, c in enumerate(every)]
+
     def matches(self, counts: list[Column]) -> Column:
         def walk(node: tuple) -> Column:
             if node[0] == "phrase":
                 return counts[node[1]] > 0
+            if node[0] == "near":
+                return counts[node[1][0]] > 0
+            if node[0] == "none":
+                return F.lit(False)
             left, right = walk(node[1]), walk(node[2])
             return left & right if node[0] == "and" else left | right if node[0] == "or" else left & ~right
 
@@ -68,11 +141,14 @@ def tokens_of(text: str) -> tuple[str, ...]:
     return tuple(re.findall(r"[^\W_]+", text.lower().translate(table)))
 
 
-LEXEME = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\*?)|([()])|([^\s()"]+))')
+LEXEME = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\*?)|([(){}^,:+-])|([^\s(){}^,:+"-]+))')
+#: The one column of a text, and the tokens between the ends of a NEAR group without a number.
+COLUMN, NEAR = "content", 10
 
 
 def parse(text: str) -> Query:
-    """Words are joined by AND unless OR or NOT stands between them; quoted phrases, prefixes with *, and brackets.
+    """Words are joined by AND unless OR or NOT stands between them; quoted phrases (parts joined by +), prefixes
+    with *, ^ before what begins a text, NEAR(a b, n), column filters (``content : a``, ``- content : a``), and brackets.
 
     A text that is not well-formed counts as the AND of its tokens.
     """
@@ -101,6 +177,8 @@ class _Parser:
                 self.items.append(("phrase*" if star else "phrase", quoted))
             elif bracket:
                 self.items.append((bracket, bracket))
+            elif word == "NEAR" and text[m.end() : m.end() + 1] == "(":
+                self.items.append((word, word))
             elif word in ("AND", "OR", "NOT"):
                 self.items.append((word, word))
             elif re.fullmatch(r"\w+\*?", word):
@@ -128,7 +206,7 @@ class _Parser:
 
     def both(self) -> tuple:
         out = self.without()
-        while self.kind() in ("AND", "phrase", "phrase*", "("):
+        while self.kind() in ("AND", "phrase", "phrase*", "(", "^", "{", "-", "NEAR"):
             self.at += self.kind() == "AND"
             out = ("and", out, self.without())
         return out
@@ -140,23 +218,97 @@ class _Parser:
             out = ("not", out, self.single())
         return out
 
+    def take(self, kind: str) -> None:
+        if self.kind() != kind:
+            raise ValueError(kind)
+        self.at += 1
+
+    def column(self) -> bool | None:
+        """A column filter, if one stands here: whether it holds for the texts' column."""
+        begin, other = self.at, self.kind() == "-"
+        self.at += other
+        names = []
+        if self.kind() == "{":
+            self.at += 1
+            while self.kind() == "phrase":
+                names.append(self.items[self.at][1])
+                self.at += 1
+            self.take("}")
+        elif self.kind() == "phrase":
+            names.append(self.items[self.at][1])
+            self.at += 1
+        if self.kind() != ":" or not names:
+            if other or begin < len(self.items) and self.items[begin][0] == "{":
+                raise ValueError("column")
+            self.at = begin
+            return None
+        self.at += 1
+        if any(n.lower() != COLUMN for n in names):
+            raise ValueError("no such column")
+        return not other
+
     def single(self) -> tuple:
+        if (holds := self.column()) is not None:
+            kept = len(self.phrases)
+            out = self.single()
+            if not holds:
+                del self.phrases[kept:]
+                return ("none",)
+            return out
         kind = self.kind()
         if kind == "(":
             self.at += 1
             out = self.either()
-            if self.kind() != ")":
-                raise ValueError("bracket")
-            self.at += 1
+            self.take(")")
             return out
-        if not kind.startswith("phrase"):
-            raise ValueError(kind)
-        tokens = tokens_of(self.items[self.at][1])
-        self.at += 1
+        if kind == "NEAR":
+            return self.near()
+        return ("phrase", self.phrase())
+
+    def near(self) -> tuple:
+        self.at += 2
+        members, distance = [], NEAR
+        while self.kind() in ("phrase", "phrase*", "^"):
+            members.append(self.phrase())
+        if self.kind() == ",":
+            self.at += 1
+            if self.kind() != "phrase" or not self.items[self.at][1].isdigit():
+                raise ValueError("NEAR")
+            distance = int(self.items[self.at][1])
+            self.at += 1
+        self.take(")")
+        if not members:
+            raise ValueError("NEAR")
+        return ("near", members, distance) if len(members) > 1 else ("phrase", members[0])
+
+    def phrase(self) -> int:
+        first = self.kind() == "^"
+        self.at += first
+        tokens: tuple[str, ...] = ()
+        while True:
+            kind = self.kind()
+            if not kind.startswith("phrase"):
+                raise ValueError(kind)
+            tokens += tokens_of(self.items[self.at][1])
+            self.at += 1
+            if self.kind() != "+" or kind == "phrase*":
+                break
+            self.at += 1
         if not tokens:
             raise ValueError("empty phrase")
-        self.phrases.append(Phrase(tokens, kind == "phrase*"))
-        return ("phrase", len(self.phrases) - 1)
+        self.phrases.append(Phrase(tokens, kind == "phrase*", first))
+        return len(self.phrases) - 1
+
+
+def scored(rows: DataFrame, q: Query) -> DataFrame:
+    """``rank`` of matching rows, the negative BM25 score, from the columns ``_dl``, ``_tf0``... and the struct ``_s`` of statistics."""
+    score = F.lit(0.0)
+    for k in range(len(q.phrases)):
+        tf, df = F.col(f"_tf{k}").cast("double"), F.col(f"_s.df{k}")
+        idf = F.ln((F.col("_s.n") - df + 0.5) / (df + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_s.avgdl")))).otherwise(0.0)
+    return rows.withColumn("rank", -score).drop("_dl", "_s", *[f"_tf{k}" for k in range(len(q.phrases) + len(q.grouped()))])
 
 
 def ranked(docs: DataFrame, query: str, text_col: str = "content") -> DataFrame:
@@ -168,18 +320,12 @@ def ranked(docs: DataFrame, query: str, text_col: str = "content") -> DataFrame:
     """
     q = parse(query)
     # a lambda binds the tokens, so they are made once for each text whatever asks for them
-    counts = F.transform(F.array(search_tokens(text_col)), lambda d: F.array(F.size(d), *[p.count(d) for p in q.phrases]))[0]
+    counts = F.transform(F.array(search_tokens(text_col)), lambda d: F.array(F.size(d), *q.counts(d)))[0]
     tokens = docs.withColumn("_counts", counts)
-    counted = tokens.withColumns({"_dl": F.col("_counts")[0]} | {f"_tf{k}": F.col("_counts")[k + 1] for k in range(len(q.phrases))}).drop("_counts")
-    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(q.phrases))]).alias("s")).scalar()
-    scored = counted.filter(q.matches([F.col(f"_tf{k}") for k in range(len(q.phrases))])).withColumn("_s", stats)
-    score = F.lit(0.0)
-    for k in range(len(q.phrases)):
-        tf, df = F.col(f"_tf{k}").cast("double"), F.col(f"_s.df{k}")
-        idf = F.ln((F.col("_s.n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_s.avgdl")))).otherwise(0.0)
-    return scored.withColumn("rank", -score).drop("_dl", "_s", *[f"_tf{k}" for k in range(len(q.phrases))])
+    n = len(q.phrases) + len(q.grouped())
+    counted = tokens.withColumns({"_dl": F.col("_counts")[0]} | {f"_tf{k}": F.col("_counts")[k + 1] for k in range(n)}).drop("_counts")
+    stats = counted.agg(F.struct(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *q.texts_with([F.col(f"_tf{k}") for k in range(n)])).alias("s")).scalar()
+    return scored(counted.filter(q.matches([F.col(f"_tf{k}") for k in range(len(q.phrases))])).withColumn("_s", stats), q)
 
 
 def top(found: DataFrame, limit: int = DEFAULT_LIMIT, per: str | None = None, ties: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -207,22 +353,53 @@ def relevance(found: DataFrame, per: str = "conversation_id") -> DataFrame:
 
 
 def snippet(text: Column | str, query: str, words: int = 10) -> Column:
-    """About ``words`` words around the first match, matches marked with <b>, cut ends with '...'."""
-    from threadloom.functions.text import col
-
+    """About ``words`` words around the first match, cut ends with '...'; words of a whole phrase are marked with <b>."""
     q = parse(query)
     plain, ascii_ = accent_map()
-    parts = F.split(F.trim(F.regexp_replace(col(text), r"\s+", " ")), " ")
+    shown_words = F.split(F.trim(F.regexp_replace(col(text), r"\s+", " ")), " ")
     norm = lambda w: F.regexp_replace(F.translate(F.lower(w), plain, ascii_), r"[^\p{L}\p{N}]+", " ")
 
-    def hit(w: Column) -> Column:
-        own, out = F.split(F.trim(norm(w)), " "), F.lit(False)
-        for p in q.phrases:
-            for k, t in enumerate(p.tokens):
-                out = out | (F.exists(own, lambda x, t=t: x.startswith(t)) if p.prefix and k == len(p.tokens) - 1 else F.array_contains(own, t))
-        return out
-
-    first = F.array_position(F.transform(parts, hit), F.lit(True)).cast("int")
-    start = F.greatest(F.lit(1), F.least(first - 2, F.size(parts) - words + 1))
-    shown = F.transform(F.slice(parts, start, F.lit(words)), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(start + words <= F.size(parts), "...").otherwise(""))
+    def made(parts: Column) -> Column:
+        # tokens with the place of the word that each comes from
+        owned = F.flatten(F.transform(parts, lambda w, i: F.transform(F.filter(F.split(norm(w), " "), lambda t: t != ""), lambda t: F.struct(t.alias("t"), i.alias("i")))))
+
+        def marked(tokens: Column) -> Column:
+            doc = F.transform(tokens, lambda x: x["t"])
+            hits = [F.array().cast("array<int>")]
+            for p in q.phrases:
+                own = F.coalesce(p.starts(doc), F.array().cast("array<int>"))
+                hits.append(F.flatten(F.transform(own, _span(len(p.tokens)))))
+            places = F.flatten(F.array(*hits))
+            return F.array_distinct(F.transform(places, lambda k: F.get(tokens, k)["i"]))
+
+        return F.struct(parts.alias("parts"), marked(owned).alias("hits"))
+
+    def windowed(x: Column) -> Column:
+        parts, hits = x["parts"], x["hits"]
+        start = F.greatest(F.lit(1), F.least(F.array_min(hits) - 1, F.size(parts) - words + 1))
+        shown = F.transform(F.slice(parts, start, F.lit(words)), lambda w, i: F.when(F.array_contains(hits, start + i - 1), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+        return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(start + words <= F.size(parts), "...").otherwise(""))
+
+    # lambdas bind the words and the hits, so each is made once
+    return F.transform(F.transform(F.array(shown_words), made), windowed)[0]
+
+
+def _span(n: int) -> Callable[[Column], Column]:
+    return lambda start: F.sequence(start, start + (n - 1))
+
+
+def report(tables: dict[str, DataFrame], query: str, kind: str = "all", limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """``conversation_id, text``: the search tool's answer for each conversation, the best hits with what they stand in."""
+    every = tables["messages"].select("conversation_id").unionByName(tables["summaries"].select("conversation_id")).distinct()
+    if not query.strip():
+        return every.withColumn("text", F.lit("Error: query cannot be empty"))
+    hits = search_all(tables["messages"], tables["summaries"], query, {"messages": "message", "summaries": "summary"}.get(kind, "all"), limit, "conversation_id")
+    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    m = tables["messages"].select(F.lit("message").alias("type"), "id", F.concat(F.lit("[Message #"), num("sequence_number"), F.lit(" | "), F.col("role"), F.lit(" | "), utc_minute("created_at"), F.lit("]")).alias("head"), "content")
+    covered = tables["summary_messages"].join(tables["messages"].select(F.col("id").alias("message_id"), "sequence_number"), "message_id").groupBy(F.col("summary_id").alias("id")).agg(F.min("sequence_number").alias("lo"), F.max("sequence_number").alias("hi"))
+    head = F.concat(F.lit("[Summary depth="), num("depth"), F.lit(" | covers #"), num("lo"), F.lit("-"), num("hi"), F.lit(" | "), utc_minute("created_at"), F.lit("]"))
+    s = tables["summaries"].join(covered, "id", "left").select(F.lit("summary").alias("type"), "id", head.alias("head"), "content")
+    shown = hits.join(m.unionByName(s), ["type", "id"]).withColumn("line", F.concat(F.col("head"), F.lit("\n"), snippet("content", query)))
+    lines = shown.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "id", "line"))), lambda x: x["line"]).alias("lines"))
+    none = F.lit(f"No results found for '{query}'. Try different search terms.")
+    return every.join(lines, "conversation_id", "left").select("conversation_id", F.coalesce(F.array_join("lines", "\n\n"), none).alias("text"))

@@ -6,6 +6,7 @@ checks run on views with planted faults, so that they have something to find.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from threadloom.config import EngineConfig
 from threadloom.functions import text as T
-from threadloom.operators import compact, context, dag, expand, files, ingest, integrity, search, session
-from threadloom.sources import model
+from threadloom.operators import compact, context, dag, expand, files, ingest, integrity, search, search_index, session
+from threadloom.sources import checkpoint, model
 
 CONFIG = EngineConfig(max_context_tokens=800, fresh_tail_size=4, leaf_summary_budget=300, soft_token_threshold=400, hard_token_threshold=700, summarize_after_messages=4, summarize_after_tokens=500, large_file_threshold=1_000, min_condense=2)
 SOFT, HARD = CONFIG.thresholds()
@@ -77,9 +78,9 @@ def message_page(t):
     return ingest.pages(t["messages"], 2, 3).select("id", BY, "sequence_number", "content")
 
 
-@on_tables(f"{WITH} SELECT id, role, content, token_count, created_at FROM messages WHERE conversation_id = '7'")
+@on_tables(f"{WITH} SELECT id, conversation_id, role, content, token_count, created_at FROM messages WHERE sequence_number > 0")
 def message_scan(t):
-    return ingest.page(t["messages"], "7").select("id", "role", "content", "token_count", "created_at")
+    return ingest.page(t["messages"], F.col(BY)).select("id", BY, "role", "content", "token_count", "created_at")
 
 
 @on_tables(f"{WITH}, s AS (SELECT conversation_id, count(*) AS n_summaries, max(depth) AS max_depth FROM summaries GROUP BY 1) SELECT m.conversation_id, count(*) AS n_messages, CAST(sum(token_count) AS BIGINT) AS tokens, max(created_at) AS last_activity, max(sequence_number) AS last_seq, coalesce(any_value(n_summaries), 0) AS n_summaries, coalesce(any_value(max_depth), 0) AS max_depth FROM messages m LEFT JOIN s USING (conversation_id) GROUP BY 1")
@@ -140,7 +141,10 @@ UNION ALL SELECT 'c' || conv_id || '-m' || (turn + 1), 1, 'text', text FROM conv
 def parts_decompose(spark, sf_dir):
     m = model.messages(spark, sf_dir)
     parts = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("content"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("content"), F.col("role").alias("text")))
-    structured = m.withColumn("content", F.when(F.col("sequence_number") % 2 == 1, F.to_json(parts)).otherwise(F.col("content")))
+    # elements that are no parts: they are left out one by one
+    junk = F.lit('[5, "a", null, {"a": 1}, {"type": 7, "content": "x"}, {"type": "text"}, {"type": "", "text": "x"}, {"type": "text", "content": 3},')
+    listed = F.concat(junk, F.substring(F.to_json(parts), F.lit(2), F.length(F.to_json(parts))))
+    structured = m.withColumn("content", F.when(F.col("sequence_number") % 2 == 1, listed).otherwise(F.col("content")))
     return ingest.message_parts(structured)
 
 
@@ -171,6 +175,34 @@ def reset_session(t):
     return out
 
 
+KINDS = ["text", "reasoning", "file", "tool", "subtask", "step-start", "step-finish", "snapshot", "patch", "agent", "retry", "compaction", "unknown"]
+
+
+@query(
+    f"""WITH k AS (SELECT 'c' || conv_id || '-m' || (turn + 1) AS id, ({KINDS})[(conv_id + turn) % 13 + 1] AS kind, conv_id % 2 = 0 AS even, role, text FROM conversations)
+SELECT id, trim(CASE kind WHEN 'text' THEN text WHEN 'reasoning' THEN text WHEN 'file' THEN CASE WHEN even THEN text ELSE role END
+  WHEN 'tool' THEN '[Tool ' || role || ']' || chr(10) || 'Input: ' || CASE WHEN even THEN '{{"b":[1,"x"],"a":null}}' ELSE 'plain' END || CASE WHEN even THEN chr(10) || 'Output: ' || text ELSE chr(10) || 'Error: ' || text END
+  WHEN 'subtask' THEN role || chr(10) || text WHEN 'step-start' THEN CASE WHEN even THEN text ELSE '[Step started]' END
+  WHEN 'step-finish' THEN role || CASE WHEN even THEN chr(10) || text ELSE '' END WHEN 'snapshot' THEN text WHEN 'patch' THEN 'Patch ' || role || chr(10) || 'a.py' || chr(10) || 'b.py'
+  WHEN 'agent' THEN CASE WHEN even THEN text ELSE role END WHEN 'retry' THEN 'Retry 2: ' || text WHEN 'compaction' THEN CASE WHEN even THEN '[Automatic compaction]' ELSE '[Compaction]' END ELSE '' END || chr(10) || chr(10) || 'end', ' ' || chr(10)) AS content FROM k"""
+)
+def host_parts(spark, sf_dir):
+    m = model.messages(spark, sf_dir)
+    conv, even = F.col(BY).cast("bigint"), F.col(BY).cast("bigint") % 2 == 0
+    kind = F.array(*map(F.lit, KINDS))[((conv + F.col("sequence_number") - 1) % 13).cast("int")]
+    text, role, if_even = F.col("content"), F.col("role"), lambda c: F.when(even, c)
+    state = F.struct(F.when(even, "completed").otherwise("error").alias("status"), if_even(text).alias("output"), F.when(~even, text).alias("error"))
+    struct = F.struct(
+        kind.alias("type"), text.alias("text"), F.when(~even, role).alias("filename"), role.alias("tool"), state.alias("state"), role.alias("description"), text.alias("prompt"), role.alias("reason"), role.alias("hash"), role.alias("name"),
+        F.when(even | (kind == "snapshot"), text).alias("snapshot"), F.array(F.lit("a.py"), F.lit("b.py")).alias("files"), F.lit(2).alias("attempt"), F.struct(F.struct(text.alias("message")).alias("data")).alias("error"), even.alias("auto"),
+        if_even(F.struct(F.struct(text.alias("value")).alias("text"), text.alias("value"))).alias("source"),
+    )
+    given = F.when(even, F.lit('"state":{"input":{"b":[1,"x"],"a":null},')).otherwise(F.lit('"state":{"input":"plain",'))
+    part = F.replace(F.to_json(struct), F.lit('"state":{'), given)
+    parts = F.array(part, F.lit('{"type":"text","text":"  "}'), F.lit('{"type":"text","text":"end"}'))
+    return ingest.host_messages(m.select("id", parts.alias("parts")))
+
+
 # -- tokens and levels ----------------------------------------------------------
 
 
@@ -243,7 +275,7 @@ def children_tree(t):
 
 
 COVER = WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, down AS (
-  SELECT id AS root_id, id FROM summaries UNION ALL SELECT d.root_id, p.child_id FROM down d JOIN summary_parents p ON p.parent_id = d.id
+  SELECT id AS root_id, id FROM summaries UNION SELECT d.root_id, p.child_id FROM down d JOIN summary_parents p ON p.parent_id = d.id
 )"""
 
 
@@ -314,6 +346,17 @@ def search_prefix(spark, sf_dir):
     return search.ranked(docs, "einver* OR ciones*").select("doc_id")
 
 
+@query(f"{ALL2} SELECT type, id, conversation_id, round(rank, 6) AS rank FROM both_ ORDER BY both_.rank, type, id LIMIT 25")
+def search_stored(spark, sf_dir):
+    """As ``search_all``, from an index that a store keeps: messages inserted in two parts, then summaries."""
+    t = model.tables(spark, sf_dir)
+    store = model.Store(spark, f"{checkpoint.folder(spark)}/index-{uuid.uuid4().hex}")
+    search_index.insert(store, "message", t["messages"].filter("sequence_number <= 2"))
+    search_index.insert(store, "message", t["messages"])
+    search_index.insert(store, "summary", t["summaries"])
+    return rounded(search_index.search_all(store, "in NOT is", limit=25), "rank")
+
+
 @on_tables()
 def search_snippets(t):
     found = search.top(search.ranked(t["messages"], "ingth OR thely"))
@@ -375,14 +418,8 @@ def transform_messages(t):
     return context.transform_messages(context.render(context.assemble(h, CONFIG), h["summary_messages"], h["messages"])).select(BY, "position", "role", "id", "parent_id")
 
 
-@query(f"SELECT page_id, {XML.format('url')} AS escaped, {XML.format('left(html, 200)')} AS html FROM pages")
+@query(f"SELECT page_id, {XML.format('url')} AS escaped, {XML.format('html')} AS html FROM pages")
 def escape_xml(spark, sf_dir):
-    return model.table(spark, sf_dir, "pages").select("page_id", T.escape_xml("url").alias("escaped"), T.escape_xml(F.substring("html", 1, 200)).alias("html"))
-
-
-@query()
-def escape_xml_whole(spark, sf_dir):
-    """Whole pages; ``escape_xml`` and its SQL take the first 200 characters."""
     return model.table(spark, sf_dir, "pages").select("page_id", T.escape_xml("url").alias("escaped"), T.escape_xml("html").alias("html"))
 
 
@@ -426,13 +463,36 @@ def compact_all(t):
 
 # -- files and expansion ----------------------------------------------------------
 
-FILES = "texts AS (SELECT 'd' || doc_id AS id, CAST(doc_id % 50 AS VARCHAR) AS conversation_id, CASE WHEN doc_id % 3 = 0 THEN '<file path=\"src/' || source || '.txt\">' || chr(10) || text WHEN doc_id % 3 = 1 THEN 'lib/' || lang || '.md' || chr(10) || text ELSE text END AS content, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS created_at FROM documents), sized AS (SELECT *, CAST(ceil(length(content) / 3.5) AS INT) AS token_count FROM texts), paths AS (SELECT *, coalesce(nullif(regexp_extract(content, '<file\\s+path=\"([^\"]+)\"', 1), ''), nullif(regexp_extract(content, '^(\\S*[/\\\\]\\S*\\.[A-Za-z0-9]{1,10})\\n', 1), '')) AS path FROM sized)"
+# The rule of the original, by hand: a tag; else a "//" comment (after an optional "path:") on the first line of a code block,
+# of which the last extension ends the path; else a first line without spaces that has a slash and ends in an extension.
+FILES = """texts AS (SELECT 'd' || doc_id AS id, CAST(doc_id % 50 AS VARCHAR) AS conversation_id, CASE doc_id % 7
+    WHEN 0 THEN '<file path="src/' || source || '.txt">' || chr(10) || text
+    WHEN 1 THEN 'lib/' || lang || '.md' || chr(10) || text
+    WHEN 2 THEN '```ts' || chr(10) || '// path: src/' || source || '.ts' || chr(10) || text
+    WHEN 3 THEN '```' || chr(10) || '//a/b c/' || lang || '.py rest' || chr(10) || text
+    WHEN 4 THEN '```md' || chr(10) || '# v1.0' || chr(10) || text
+    WHEN 5 THEN chr(9) || 'win' || chr(92) || lang || chr(9) || 'x.c ' || chr(10) || text
+    ELSE text END AS content, doc_id, source, lang, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS created_at FROM documents),
+sized AS (SELECT *, CAST(ceil(length(content) / 3.5) AS INT) AS token_count, string_split(content, chr(10))[1] AS line FROM texts),
+paths AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN 'src/' || source || '.txt' WHEN 1 THEN 'lib/' || lang || '.md' WHEN 2 THEN 'src/' || source || '.ts'
+    WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'win' || chr(92) || lang || chr(9) || 'x.c'
+    ELSE CASE WHEN trim(line) NOT LIKE '% %' AND (contains(line, '/') OR contains(line, chr(92))) AND regexp_matches(trim(line), '[.][A-Za-z0-9]{1,10}$') THEN trim(line) END END AS path FROM sized)"""
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.table(spark, sf_dir, "documents")
-    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<file path="src/'), "source", F.lit('.txt">\n'), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("lib/"), "lang", F.lit(".md\n"), "text")).otherwise(F.col("text"))
-    rows = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), (F.col("doc_id") % 50).cast("string").alias(BY), content.alias("content"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("created_at"))
+    heads = [
+        F.concat(F.lit('<file path="src/'), "source", F.lit('.txt">\n')),
+        F.concat(F.lit("lib/"), "lang", F.lit(".md\n")),
+        F.concat(F.lit("```ts\n// path: src/"), "source", F.lit(".ts\n")),
+        F.concat(F.lit("```\n//a/b c/"), "lang", F.lit(".py rest\n")),
+        F.lit("```md\n# v1.0\n"),
+        F.concat(F.lit("\twin\\"), "lang", F.lit("\tx.c \n")),
+    ]
+    head = F.lit("")
+    for k, h in enumerate(heads):
+        head = F.when(F.col("doc_id") % 7 == k, h).otherwise(head)
+    rows = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), (F.col("doc_id") % 50).cast("string").alias(BY), F.concat(head, "text").alias("content"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("created_at"))
     return rows.withColumn("token_count", T.estimate_tokens("content"))
 
 
@@ -461,32 +521,74 @@ def file_stats(spark, sf_dir):
     return files.statistics(files.offload(_texts(spark, sf_dir), 1000)[1])
 
 
-BLOCK = "'[Message #' || sequence_number || ' | ' || role || ' | ' || strftime(created_at, '%Y-%m-%d %H:%M') || ']' || chr(10) || content"
+NN = "chr(10) || chr(10)"
+ISO = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')"
 
 
-@on_tables(f"{WITH}, b AS (SELECT conversation_id, sequence_number, {BLOCK} AS text FROM messages WHERE sequence_number BETWEEN 2 AND 6), r AS (SELECT *, sum(length(text) + 5) OVER (PARTITION BY conversation_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT conversation_id, sequence_number, text FROM r WHERE run <= 2000")
+@on_tables(f"""{WITH}, b AS (SELECT conversation_id, sequence_number, '[#' || sequence_number || ' ' || role || ' | ' || {ISO} || ']' || chr(10) || content AS block FROM messages WHERE sequence_number BETWEEN 5 AND 9),
+r AS (SELECT *, 20 + sum(length(block) + 5) OVER (PARTITION BY conversation_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS run FROM b),
+g AS (SELECT conversation_id, string_agg(block, {NN} || '---' || {NN} ORDER BY sequence_number) AS text FROM r WHERE run <= 900 GROUP BY 1)
+SELECT c.conversation_id, CASE WHEN c.conversation_id NOT IN (SELECT conversation_id FROM b) THEN 'No messages found in range 5-9 for this session.' ELSE '=== Messages 5-9 ===' || coalesce({NN} || g.text, '') END AS text
+FROM (SELECT DISTINCT conversation_id FROM messages) c LEFT JOIN g USING (conversation_id)""")
 def expand_range(t):
-    return expand.message_range(t["messages"], 2, 6, 2000)
+    return expand.range_texts(t["messages"], 5, 9, 900)
+
+
+def _expanded(chars: int, condensed: bool) -> str:
+    """Sections one by one while they fit, then messages up to the first that does not."""
+    title = "" if condensed else f"UNION ALL SELECT summary_id, 3, TIMESTAMP '1970-01-01', '', 'Original message content:' FROM cov WHERE n > 0"
+    head = f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, cov AS (SELECT s.id AS summary_id, count(m.id) AS n, coalesce(min(sequence_number), 0) AS lo, coalesce(max(sequence_number), 0) AS hi
+  FROM summaries s LEFT JOIN summary_messages l ON l.summary_id = s.id LEFT JOIN messages m ON m.id = l.message_id GROUP BY 1),
+raw AS (
+  SELECT id AS summary_id, 0 AS kind, created_at, '0' AS id, '=== Expanded: Summary ' || id || ' (depth ' || depth || ') ===' AS s FROM summaries
+  UNION ALL SELECT id, 0, created_at, '1', 'Summary text:' || chr(10) || content FROM summaries
+  UNION ALL SELECT s.id, 0, created_at, '2', 'Covers messages: ' || lo || '-' || hi || ' (' || n || ' messages)' FROM summaries s JOIN cov ON cov.summary_id = s.id
+  UNION ALL SELECT p.parent_id, 2, s.created_at, s.id, '### Child Summary (depth=' || s.depth || ', id=' || s.id || ')' || chr(10) || s.content FROM summaries s JOIN summary_parents p ON p.child_id = s.id
+  {title}
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY summary_id ORDER BY kind, created_at, id) AS k FROM raw),
+fold AS (
+  SELECT DISTINCT summary_id, CAST(0 AS BIGINT) AS k, CAST({chars} AS BIGINT) AS room, CAST(NULL AS VARCHAR) AS text FROM numbered
+  UNION ALL
+  SELECT f.summary_id, f.k + 1, CASE WHEN length(s) + CASE WHEN text IS NULL THEN 0 ELSE 2 END <= room THEN room - length(s) - CASE WHEN text IS NULL THEN 0 ELSE 2 END ELSE room END,
+         CASE WHEN length(s) + CASE WHEN text IS NULL THEN 0 ELSE 2 END <= room THEN coalesce(text || {NN}, '') || s ELSE text END
+  FROM fold f JOIN numbered n ON n.summary_id = f.summary_id AND n.k = f.k + 1
+), done AS (SELECT summary_id, arg_max(room, k) AS room, list(text ORDER BY k)[-1] AS text FROM fold GROUP BY 1)"""
+    if condensed:
+        return f"{head} SELECT summary_id, coalesce(text, '') AS text FROM done"
+    return f"""{head}, b AS (SELECT l.summary_id, m.sequence_number, '[#' || sequence_number || ' ' || role || '] ' || content AS block FROM summary_messages l JOIN messages m ON m.id = l.message_id),
+r AS (SELECT b.*, sum(length(block) + 2) OVER (PARTITION BY summary_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS run FROM b),
+g AS (SELECT r.summary_id, string_agg(block, {NN} ORDER BY sequence_number) AS text, count(*) AS shown, max(run) AS used FROM r JOIN done d USING (summary_id) WHERE run <= room GROUP BY 1),
+o AS (SELECT d.summary_id, d.text || coalesce({NN} || g.text, '') AS text, n - coalesce(shown, 0) AS hidden, room - coalesce(used, 0) AS room FROM done d JOIN cov USING (summary_id) LEFT JOIN g USING (summary_id))
+SELECT summary_id, CASE WHEN hidden > 0 AND length('... (' || hidden || ' more messages not shown)') + 2 <= room THEN text || {NN} || '... (' || hidden || ' more messages not shown)' ELSE text END AS text FROM o"""
+
+
+@on_tables(_expanded(420, False))
+def expand_summary(t):
+    return expand.summary_texts(t, t["summaries"].select("id"), chars=420)
 
 
-@on_tables(f"""{WITH}, b AS (
-  SELECT id AS summary_id, '0-summary' AS kind, 0 AS nr, created_at, id, '[Summary depth=' || depth || ']' || chr(10) || content AS text FROM summaries
-  UNION ALL SELECT p.parent_id, '1-child', 0, s.created_at, s.id, '[Child ' || s.id || ']' || chr(10) || s.content FROM summaries s JOIN summary_parents p ON p.child_id = s.id
-  UNION ALL SELECT l.summary_id, '2-message', m.sequence_number, m.created_at, m.id, {BLOCK} FROM summary_messages l JOIN messages m ON m.id = l.message_id
-), r AS (SELECT *, sum(length(text) + 5) OVER (PARTITION BY summary_id ORDER BY kind, nr, created_at, id ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT summary_id, kind, nr, id, text FROM r WHERE run <= 1200""")
-def expand_summary(t):
-    return expand.summaries(t, t["summaries"].select("id"), 1200)
+@on_tables(_expanded(330, True))
+def expand_condensed(t):
+    return expand.summary_texts(t, t["summaries"].select("id"), condensed=True, chars=330)
 
 
-@on_tables(f"{WITH}, {_bm25('messages', 'id, conversation_id', ['ingth', 'thely'], ANY2)} SELECT f.id, m.content AS text FROM (SELECT * FROM found ORDER BY rank, id LIMIT 5) f JOIN messages m USING (id)")
+@on_tables(f"""{ALL2} SELECT f.type, f.id, CASE f.type WHEN 'message' THEN '[Message #' || m.sequence_number || ' | ' || m.role || ' | ' || strftime(m.created_at, '%Y-%m-%dT%H:%M:%S.000Z') || ']' || chr(10) || m.content
+  ELSE '[Summary depth=' || s.depth || ' | ' || strftime(s.created_at, '%Y-%m-%dT%H:%M:%S.000Z') || ']' || chr(10) || s.content END AS block
+FROM (SELECT * FROM both_ ORDER BY rank, type, id LIMIT 20) f LEFT JOIN messages m ON f.type = 'message' AND m.id = f.id LEFT JOIN summaries s ON f.type = 'summary' AND s.id = f.id""")
 def expand_search(t):
-    return expand.found(t | {"summaries": t["summaries"].limit(0)}, "ingth OR thely").select("id", "text")
+    return expand.found(t, "in NOT is", 20).select("type", "id", "block")
 
 
 # -- session and integrity -----------------------------------------------------------
 
 
-@on_tables()
+@on_tables(f"""{ASSEMBLE}, spent AS (SELECT conversation_id, CAST(sum(token_count) AS BIGINT) AS context_tokens FROM placed GROUP BY 1),
+info AS (SELECT conversation_id, count(*) AS n_messages, CAST(sum(token_count) AS BIGINT) AS tokens, max(created_at) AS last_activity, max(sequence_number) AS last_seq,
+  count(*) FILTER (WHERE id NOT IN (SELECT message_id FROM half_links)) AS active, count(*) FILTER (WHERE id IN (SELECT message_id FROM half_links)) AS condensed FROM messages GROUP BY 1),
+sums AS (SELECT conversation_id, count(*) AS n_summaries, max(depth) AS max_depth, CAST(sum(token_count) AS BIGINT) AS summary_tokens, max(created_at) AS last_compaction,
+  count(*) FILTER (WHERE id NOT IN (SELECT child_id FROM summary_parents)) AS n_roots FROM summaries GROUP BY 1)
+SELECT i.*, coalesce(n_summaries, 0) AS n_summaries, coalesce(max_depth, 0) AS max_depth, coalesce(summary_tokens, 0) AS summary_tokens, last_compaction, coalesce(n_roots, 0) AS n_roots, coalesce(context_tokens, 0) AS context_tokens,
+  CAST({SOFT} AS INT) AS soft_threshold, CAST({HARD} AS INT) AS hard_threshold FROM info i LEFT JOIN sums USING (conversation_id) LEFT JOIN spent USING (conversation_id)""")
 def describe(t):
     return session.describe(half_open(t), CONFIG)
 
@@ -549,12 +651,21 @@ def integrity_files(spark, sf_dir):
     return integrity.file_mismatches({"messages": moved, "large_files": rows})
 
 
-@on_tables(f"{ASSEMBLE}, s AS (SELECT conversation_id, sum(token_count) AS tokens FROM placed GROUP BY 1) SELECT conversation_id, CAST(CAST(tokens AS BIGINT) AS VARCHAR) AS item FROM s WHERE tokens > 800")
+@on_tables(f"{ASSEMBLE}, s AS (SELECT conversation_id, sum(token_count) AS tokens FROM placed GROUP BY 1) SELECT conversation_id, CAST(CAST(tokens AS BIGINT) AS VARCHAR) AS item FROM s WHERE tokens > 150")
 def integrity_budget(t):
-    return integrity.over_budget(half_open(t), CONFIG)
-
-
-@on_tables()
+    return integrity.over_budget(half_open(t), CONFIG, 150)
+
+
+@on_tables(f"""{ORPHANS}, k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_number) AS k FROM f_messages), several AS (SELECT conversation_id FROM f_summaries GROUP BY 1 HAVING count(*) > 1), items AS (
+  SELECT conversation_id, 'message-ordering' AS name, id AS item FROM k WHERE k <> sequence_number
+  UNION ALL SELECT conversation_id, 'summary-coverage', summary_id || '>' || message_id FROM orphan
+  UNION ALL SELECT c.conversation_id, 'dag-acyclicity', e.child_id FROM f_edges e JOIN f_edges b ON b.child_id = e.parent_id AND b.parent_id = e.child_id JOIN f_summaries c ON c.id = e.child_id
+  UNION ALL SELECT c.conversation_id, 'depth-consistency', e.child_id || '>' || e.parent_id FROM f_edges e JOIN f_summaries c ON c.id = e.child_id JOIN f_summaries p ON p.id = e.parent_id WHERE p.depth <> c.depth + 1
+  UNION ALL SELECT conversation_id, 'orphan-detection', id FROM f_summaries WHERE conversation_id IN (FROM several) AND id NOT IN (SELECT child_id FROM f_edges) AND id NOT IN (SELECT parent_id FROM f_edges)
+), listed AS (SELECT conversation_id, name, list_sort(list(DISTINCT item)) AS items FROM items GROUP BY ALL),
+grid AS (SELECT conversation_id, unnest(['message-ordering', 'summary-coverage', 'dag-acyclicity', 'depth-consistency', 'orphan-detection', 'token-budget']) AS name FROM (SELECT conversation_id FROM f_messages UNION SELECT conversation_id FROM f_summaries))
+SELECT conversation_id, name, CASE WHEN items IS NULL THEN 'pass' ELSE 'fail' END AS status, CAST(coalesce(len(items), 0) AS INT) AS n_bad,
+  CASE WHEN items IS NULL THEN '' ELSE array_to_string(items[1:5], ', ') || CASE WHEN len(items) > 5 THEN ' (+' || (len(items) - 5) || ' more)' ELSE '' END END AS details FROM grid LEFT JOIN listed USING (conversation_id, name)""")
 def integrity_report(t):
     return integrity.run_checks(faulty(t), CONFIG)
 

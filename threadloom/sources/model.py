@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.errors import EngineError
 from threadloom.functions.text import estimate_tokens
 
 #: The tables and their columns.
@@ -15,29 +22,116 @@ SCHEMAS = {
     "summaries": "id string, conversation_id string, depth int, content string, token_count int, created_at timestamp, compaction_level string",
     "summary_parents": "child_id string, parent_id string",
     "summary_messages": "summary_id string, message_id string, pos int",
+    "postings": "term string, kind string, id string, conversation_id string, length int, positions array<int>",
+    "text_lengths": "kind string, id string, conversation_id string, length int",
     "large_files": "id string, conversation_id string, message_id string, placeholder string, original_path string, token_count int, content string, created_at timestamp",
 }
 
 
+#: Version of the schemas above, and what takes a store from a version to the next.
+SCHEMA_VERSION = 1
+MIGRATIONS: dict[int, Callable[["Store"], dict[str, DataFrame]]] = {}
+
+
 class Store:
-    """Tables as immutable versions under a folder; a write makes a new version and then points to it."""
+    """Tables as lists of immutable Parquet folders, named by numbered commit files under one folder.
+
+    A commit writes its rows first and then its file, by a rename that fails if
+    the number is taken, so several tables change at once or not at all, and of
+    two writers one gets an error. A store that is opened again reads the last
+    commit; a commit file that cannot be read is put aside (``.corrupt``) and
+    the one before it counts. Older schema versions are migrated on opening.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.versions: dict[str, int] = {}
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.folder}/{name}/v={version}"
+        self._jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._at = self._jvm.Path(f"{self.folder}/_commits")
+        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at)
+        self.recovered: list[str] = []
+        self.open = True
+        self.number, state = self._last()
+        self.parts: dict[str, list[str]] = state["tables"]
+        version = state["schema"]
+        if version > SCHEMA_VERSION:
+            raise EngineError(f"schema {version} is newer than {SCHEMA_VERSION}", "DB_SCHEMA")
+        while version < SCHEMA_VERSION:
+            self.commit(MIGRATIONS[version](self), schema=version + 1)
+            version += 1
+
+    def _last(self) -> tuple[int, dict]:
+        names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._at)), reverse=True)
+        for name in names:
+            if not re.fullmatch(r"\d+\.json", name):
+                continue
+            try:
+                state = json.loads(self._text(name))
+                if not isinstance(state["schema"], int) or not all(isinstance(v, list) for v in state["tables"].values()):
+                    raise ValueError(name)
+                return int(name.split(".")[0]), state
+            except (ValueError, KeyError, TypeError, AttributeError):
+                self._fs.rename(self._jvm.Path(self._at, name), self._jvm.Path(self._at, f"{name}.corrupt"))
+                self.recovered.append(name)
+        return 0, {"schema": SCHEMA_VERSION, "tables": {}}
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._jvm.Path(self._at, name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _needs_open(self) -> None:
+        if not self.open:
+            raise EngineError("the store is closed", "DB_CLOSED")
 
     def read(self, name: str) -> DataFrame:
-        if name not in self.versions:
+        self._needs_open()
+        if not self.parts.get(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self._path(name, self.versions[name]))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{p}" for p in self.parts[name]])
+
+    def commit(self, whole: dict[str, DataFrame] | None = None, more: dict[str, DataFrame] | None = None, schema: int = SCHEMA_VERSION) -> int:
+        """Replace tables by ``whole`` and append ``more``, all at once; the number of the commit."""
+        self._needs_open()
+        parts = dict(self.parts)
+        for kind, tables_ in (("whole", whole or {}), ("more", more or {})):
+            for name, df in tables_.items():
+                path = f"{name}/{uuid.uuid4().hex}"
+                df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.parquet(f"{self.folder}/{path}")
+                parts[name] = [path] if kind == "whole" else [*parts.get(name, []), path]
+        draft, final = self._jvm.Path(self._at, f"draft-{uuid.uuid4().hex}"), self._jvm.Path(self._at, f"{self.number + 1:012d}.json")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps({"schema": schema, "tables": parts}).encode()))
+        stream.close()
+        sc = self.spark.sparkContext
+        files = self._jvm.FileContext.getFileContext(self._at.toUri(), sc._jsc.hadoopConfiguration())
+        try:
+            files.rename(files.makeQualified(draft), files.makeQualified(final), sc._gateway.new_array(getattr(self._jvm, "Options$Rename"), 0))
+        except Py4JJavaError as error:
+            self._fs.delete(draft, False)
+            raise EngineError("another writer was first", "STORE_CONFLICT", recoverable=True) from error
+        self.number, self.parts = self.number + 1, parts
+        return self.number
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = self.versions.get(name, 0) + 1
-        df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.mode("overwrite").parquet(self._path(name, version))
-        self.versions[name] = version
+        self.commit({name: df})
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self.commit(more={name: df})
+
+    def rewrite(self, name: str) -> None:
+        """A table of many small folders as one."""
+        self.commit({name: self.read(name)})
+
+    def refresh(self) -> None:
+        """Go on from the last commit of any writer."""
+        self.number, state = self._last()
+        self.parts = state["tables"]
+
+    def close(self) -> None:
+        self.open = False
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in SCHEMAS}

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.operators import ingest
+from threadloom.sources.checkpoint import checkpointed
 from threadloom.sources.model import Store
 
 
 def ingest_batch(store: Store, batch: DataFrame) -> None:
-    """Persist one micro-batch; a batch that comes again adds nothing."""
-    known = store.read("messages")
-    new = ingest.persist_messages(known, batch)
-    conversations = ingest.ensure_conversations(store.read("conversations"), batch)
-    store.write("conversations", store.read("conversations").unionByName(conversations))
-    store.write("messages", known.unionByName(new.select(known.columns)))
+    """Persist one micro-batch: new rows are appended, messages and conversations in one commit.
+
+    Of the stored messages only ids and numbers are read. A batch that comes
+    again, also after a restart, adds nothing.
+    """
+    known = store.read("messages").select("id", "conversation_id", "sequence_number")
+    new = checkpointed(ingest.persist_messages(known, batch))
+    conversations = checkpointed(ingest.ensure_conversations(store.read("conversations"), batch))
+    more = {name: df for name, df in (("messages", new), ("conversations", conversations)) if not df.isEmpty()}
+    if more:
+        store.commit(more=more)
 
 
 def ingest_stream(store: Store, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
