@@ -69,3 +69,18 @@ def test_intervals_and_ranks(spark):
     assert got == sorted(caps, key=repr)
     six = urls.filter_captures(df, lists).filter("capture_id = 6").first()
     assert (six.category, six.n_matches, six.decision) == ("aaa", 3, "blocked")
+
+
+def test_deep_paths_times_and_long_urls(spark):
+    t = lambda h: datetime.datetime(2021, 1, 5, h)
+    deep = "host.example/a/b/c/d"
+    changes = [(deep, "ads", t(3), "add"), (deep, "ads", t(9), "remove"), (deep, "ads", t(12), "add"), ("host.example/a", "spam", t(0), "add"), ("host.example/a/", "none", t(0), "add")]
+    lists = spark.createDataFrame(changes, "entry string, category string, changed timestamp, action string")
+    long = "http://host.example/a/b/c/d/" + "x/" * 20_000
+    caps = [(1, long, t(2), "host.example/a"), (2, long, t(3), deep), (3, long, t(10), "host.example/a"), (4, long, t(13), deep), (5, "http://host.example/a/b/c", t(13), "host.example/a"), (6, "http://host.example/b", t(13), None)]
+    df = spark.createDataFrame([(*c[:3], 1) for c in caps], "capture_id long, url string, fetched timestamp, salt int")
+    got = sorted((r.capture_id, r.url, r.fetched, r.entry) for r in urls.filter_captures(df, lists).collect())
+    assert got == caps
+    none = urls.filter_captures(df, lists.limit(0)).collect()
+    assert len(none) == 6 and all(r.decision == "allowed" and r.n_matches == 0 for r in none)
+    assert urls.filter_captures(df.limit(0), lists).count() == 0

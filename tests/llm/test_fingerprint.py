@@ -59,3 +59,15 @@ def test_single_and_empty(spark):
     got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fp.fingerprints_with_edits(docs).collect()]
     assert got == brute([(1, "alone here. now")])
     assert fp.fingerprints_with_edits(docs.limit(0)).count() == 0
+
+
+def test_ids_far_apart(spark, monkeypatch):
+    """Hash-like ids, each in a range of its own at several levels: still no task orders all ranges."""
+    monkeypatch.setattr(fp, "TOP", 4)
+    ids = sorted({(k * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for k in range(60)} | {-1, 0, 1, 2**63 - 1, -(2**63)})
+    got = dict(map(tuple, fp.following(spark.createDataFrame([(i,) for i in ids], "v long").repartition(5)).collect()))
+    assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    assert fp.following(spark.createDataFrame([], "v long")).count() == 0
+    rows = [(i, f"text {i}. of its own.") for i in ids]
+    got = fp.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(brute(rows))

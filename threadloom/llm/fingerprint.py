@@ -25,14 +25,15 @@ fully equal rows makes no difference. Names of other columns don't matter.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPAN = 96
 #: doc_ids of one bucket of neighbours.
 BUCKET = 256
-#: Buckets of one bucket of the next level up.
-LEVEL = 1 << 12
+#: Buckets of one bucket of the next level up, and buckets that one task orders at most.
+LEVEL, TOP = 1 << 12, 10_000
 SECTION = r"(?s).*?\n[ \t\r]*\n\s*|(?s).+"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
 SENTENCE = rf"[^.!?\n]{{0,{SPAN - 1}}}[.!?\n]\s*|[^.!?\n]{{1,{SPAN}}}"
@@ -111,26 +112,38 @@ def differing_spans(one: Column, other: Column) -> Column:
     return F.when(count > 0, F.sequence(head, head + count - 1)).otherwise(F.array().cast(T.ArrayType(T.IntegerType())))
 
 
+def following(values: DataFrame) -> DataFrame:
+    """``value, next``: the next larger of the distinct ``values`` (one bigint column; after the last the first).
+
+    Values are ordered within ranges; where a range ends, the next range begins.
+    Ranges are found in the same way over ever coarser ones, until there are at
+    most ``TOP`` of them, so no task orders more.
+    """
+    at = values.toDF("value").withColumn("up", F.floor(F.col("value") / F.lit(LEVEL)).cast("bigint"))
+    ups = at.groupBy("up").agg(F.min("value").alias("first"))
+    if ups.limit(TOP + 1).count() <= TOP:
+        after = ups.select("up", F.coalesce(F.lead("first").over(W.orderBy("up")), F.min("first").over(W.partitionBy())).alias("after"))
+    else:
+        above = following(ups.select("up")).select(F.col("value").alias("up"), F.col("next").alias("next_up"))
+        after = above.join(ups.select(F.col("up").alias("next_up"), F.col("first").alias("after")), "next_up").select("up", "after")
+    return at.join(after, "up").select("value", F.coalesce(F.lead("value").over(W.partitionBy("up").orderBy("value")), "after").alias("next"))
+
+
 def with_next(docs: DataFrame, order: list[str], carried: list[str], bucket: int = BUCKET) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows it by ``order`` (a bigint column first; after the last the first).
 
     Rows are dealt by ranges of the first order column, so no task holds more
     than one range; only the first rows of ranges travel again, to the range
-    before theirs, found over ever coarser ranges.
+    before theirs, found by ``following``.
     """
     key = order[0]
     place = F.coalesce(F.floor(F.col(key) / F.lit(bucket)), F.lit(-(1 << 62))).cast("bigint")
     dealt = docs.select(*dict.fromkeys([*order, *carried]), place.alias("_at")).repartition("_at")
     asc = [F.col(c).asc_nulls_first() for c in order]
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("_at").orderBy(*asc)
     inside = dealt.withColumns({f"_n_{c}": F.lead(F.struct(c)).over(w) for c in carried} | {"_k": F.row_number().over(w)})
     firsts = inside.filter("_k = 1").select("_at", *[F.struct(c).alias(f"_f_{c}") for c in carried])
-    ats = dealt.select("_at").distinct().withColumn("_up", F.floor(F.col("_at") / F.lit(LEVEL)))
-    ups = ats.groupBy("_up").agg(F.min("_at").alias("_first"))
-    after = ups.select("_up", F.coalesce(F.lead("_first").over(W.orderBy("_up")), F.min("_first").over(W.partitionBy())).alias("_after"))
-    follow = ats.join(after, "_up").select("_at", F.coalesce(F.lead("_at").over(W.partitionBy("_up").orderBy("_at")), "_after").alias("_next"))
+    follow = following(dealt.select("_at").distinct()).withColumnRenamed("value", "_at").withColumnRenamed("next", "_next")
     edges = firsts.withColumnRenamed("_at", "_next").join(follow, "_next").drop("_next")
     joined = inside.join(edges, "_at", "left")
     return joined.select(*dict.fromkeys([*order, *carried]), *[F.coalesce(f"_n_{c}", f"_f_{c}")[c].alias(f"next_{c}") for c in carried])

@@ -3,17 +3,17 @@
 A filter list is a log of dated changes: an entry (a host, or a host and a
 path prefix) is added to or removed from a category. Changes become validity
 intervals [valid_from, valid_to) by looking at the next change of the same
-entry and category. A capture of a URL is held against the entries that were
-active when it was fetched: its host and each parent domain, and its path's
-first ``PATH_PARTS`` prefixes under each, are looked up as of the fetch time.
+entry and category; dates and timestamps are kept as they are given. A capture
+of a URL is held against the entries that were active when it was fetched: its
+host and each parent domain, and its path's prefixes under each, as deep as the
+deepest entry of the list, are looked up as of the fetch time.
 
 Intervals are cut at the boundaries of ``PERIOD`` days, and captures carry
 their period, so the as-of join is an equi-join on (entry, period) with few
-intervals a key. It runs once for each distinct entry and day that captures ask
-for, so a host with a third of all captures is asked for once a day; the answer
-goes back to the captures by entry and day.
- A host may hold a third of all captures: captures are salted
-and the intervals repeated for each salt.
+intervals a key. It runs once for each distinct entry and fetch time that
+captures ask for, so a host with a third of all captures asks once a time. The
+answers go back to the captures by entry and time; as every capture asks for
+its top-level domain, they are dealt to ``SALTS`` parts, and so are captures.
 
 Defined results: a change without entry, time or category is ignored, one
 without action is an addition; repeats change nothing; of several changes of
@@ -30,7 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERIOD = 32
-PATH_PARTS = 2
+#: Parts that the captures of one entry and time are dealt to.
+SALTS = 16
 FOREVER = "9999-01-01"
 
 
@@ -44,27 +45,37 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^\s*[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
+def _timed(df: DataFrame, name: str) -> Column:
+    """A date or timestamp as it is, anything else as a timestamp."""
+    return F.col(name) if dict(df.dtypes)[name] in ("date", "timestamp") else F.col(name).cast("timestamp")
+
+
 def validity(changes: DataFrame) -> DataFrame:
-    """``entry, category, valid_from, valid_to`` (dates) from ``entry, category, changed, action``."""
+    """``entry, category, valid_from, valid_to`` (of the type of ``changed``) from ``entry, category, changed, action``."""
     gone = F.max(F.coalesce(F.lower("action"), F.lit("add")) == "remove")
     states = (
-        changes.select(F.lower(F.trim("entry")).alias("entry"), "category", F.col("changed").cast("date").alias("changed"), "action")
+        changes.select(F.lower(F.trim("entry")).alias("entry"), "category", _timed(changes, "changed").alias("changed"), "action")
         .filter("entry is not null and entry <> '' and category is not null and changed is not null")
         .groupBy("entry", "category", "changed")
         .agg(gone.alias("gone"))
     )
     w = W.partitionBy("entry", "category").orderBy("changed")
     turns = states.withColumn("was", F.lag("gone").over(w)).filter("was is null and not gone or was <> gone")
-    spans = turns.withColumn("valid_to", F.coalesce(F.lead("changed").over(w), F.lit(FOREVER).cast("date")))
+    spans = turns.withColumn("valid_to", F.coalesce(F.lead("changed").over(w), F.lit(FOREVER).cast(states.schema["changed"].dataType)))
     return spans.filter("not gone").select("entry", "category", F.col("changed").alias("valid_from"), "valid_to")
 
 
-def candidates(url: Column) -> Column:
-    """array<string>: the entries that would match a URL, the most special first."""
+def path_parts(entry: Column) -> Column:
+    """Number of path parts of a list entry."""
+    return F.size(F.filter(F.slice(F.split(entry, "/"), F.lit(2), F.greatest(F.size(F.split(entry, "/")), F.lit(1))), lambda s: s != ""))
+
+
+def candidates(url: Column, deepest: int) -> Column:
+    """array<string>: the entries of up to ``deepest`` path parts that would match a URL, the most special first."""
     host = F.split(host_of(url), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(host)), lambda i: F.array_join(F.slice(host, i, F.size(host)), "."))
     steps = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    depth = F.least(F.size(steps), F.lit(PATH_PARTS))
+    depth = F.least(F.size(steps), F.lit(deepest))
     paths = F.when(depth > 0, F.transform(F.sequence(depth, F.lit(1), F.lit(-1)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     all_ = F.flatten(F.transform(hosts, lambda h: F.concat(F.transform(paths, lambda p: F.concat(h, p)), F.array(h))))
     return F.when(F.coalesce(host_of(url), F.lit("")) == "", F.array().cast("array<string>")).otherwise(all_)
@@ -80,16 +91,19 @@ def filter_captures(captures: DataFrame, changes: DataFrame) -> DataFrame:
     The most special active entry decides (of equal ones the first category);
     ``decision`` is ``blocked`` if there is one, else ``allowed``.
     """
-    day = F.col("fetched").cast("date")
-    latest = F.coalesce(captures.agg(F.max(day)).scalar(), F.lit("1970-01-01").cast("date"))
-    lists = validity(changes).withColumn("until", F.least(F.date_sub("valid_to", 1), latest)).filter("until >= valid_from")
-    by_period = lists.select("entry", "category", "valid_from", "valid_to", F.explode(F.sequence(period(F.col("valid_from")), period(F.col("until")))).alias("period"))
-    seen = captures.select("capture_id", "url", day.alias("fetched")).groupBy("capture_id", "url", "fetched").agg(F.count("*").alias("copies"))
-    asked = seen.select("*", F.posexplode_outer(candidates(F.col("url"))).alias("rank", "entry"))
-    keys = asked.select("entry", "fetched").distinct().withColumn("period", period(F.col("fetched")))
+    fetched = _timed(captures, "fetched")
+    latest = F.coalesce(captures.agg(F.max(fetched.cast("date"))).scalar(), F.lit("1970-01-01").cast("date"))
+    lists = validity(changes)
+    deepest = lists.agg(F.max(path_parts(F.col("entry")))).first()[0] or 0
+    shown = lists.withColumns({"first": F.col("valid_from").cast("date"), "until": F.least(F.col("valid_to").cast("date"), latest)}).filter("until >= first")
+    by_period = shown.select("entry", "category", "valid_from", "valid_to", F.explode(F.sequence(period(F.col("first")), period(F.col("until")))).alias("period"))
+    seen = captures.select("capture_id", "url", fetched.alias("fetched")).groupBy("capture_id", "url", "fetched").agg(F.count("*").alias("copies"))
+    asked = seen.select("*", F.posexplode_outer(candidates(F.col("url"), deepest)).alias("rank", "entry"))
+    keys = asked.select("entry", "fetched").distinct().withColumn("period", period(F.col("fetched").cast("date")))
     met = keys.join(by_period, ["entry", "period"]).filter("fetched >= valid_from and fetched < valid_to")
     active = met.groupBy("entry", "fetched").agg(F.min("category").alias("category"), F.count("*").alias("n"))
-    held = asked.join(active, ["entry", "fetched"], "left")
+    salt = F.pmod(F.xxhash64("capture_id", "url"), F.lit(SALTS)).cast("int")
+    held = asked.withColumn("salt", salt).join(active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["entry", "fetched", "salt"], "left")
     best = F.min(F.when(F.col("n") > 0, F.struct("rank", "category", "entry")))
     judged = held.groupBy("capture_id", "url", "fetched", "copies").agg(best.alias("best"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"))
     decided = judged.withColumn("decision", F.when(F.col("n_matches") > 0, "blocked").otherwise("allowed"))
