@@ -118,28 +118,54 @@ def _written(grouped: DataFrame, summarizer: Summarizer) -> DataFrame:
     return grouped.withColumn("content", write("texts", "depth", "level"))
 
 
-def leaf_summaries(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """New depth-0 summaries and their message links, for conversations that are due."""
-    due = (levels if levels is not None else state(tables, config)).filter("due").select("conversation_id", "level")
+SUMMARY = ["id", "conversation_id", "depth", "content", "token_count", "created_at", "compaction_level"]
+
+
+def _leaves(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer, levels: DataFrame) -> DataFrame:
+    """New depth-0 summaries with ``parts``, the ids of their messages, for conversations that are due."""
+    due = levels.filter("due").select("conversation_id", "level")
     open_ = ingest.unsummarized(tables["messages"], tables["summary_messages"]).join(due, "conversation_id")
     cut = chunks(open_, config.leaf_summary_budget).select("id", "chunk")
-    parts = F.array_sort(F.collect_list(F.struct("sequence_number", "id", "content", "created_at")))
+    parts = F.array_sort(F.collect_list(F.struct("sequence_number", "id", "content", "created_at", "token_count")))
     grouped = open_.join(cut, "id").groupBy("conversation_id", "level", "chunk").agg(parts.alias("m")).withColumns({"depth": F.lit(0), "texts": F.transform("m", lambda x: x["content"])})
     made = _written(grouped, summarizer).withColumns({"id": _summary_id(F.col("depth"), F.col("m")[0]["sequence_number"], F.element_at("m", -1)["sequence_number"]), "token_count": estimate_tokens("content"), "created_at": F.array_max(F.transform("m", lambda x: x["created_at"]))})
-    links = made.select(F.col("id").alias("summary_id"), F.posexplode(F.transform("m", lambda x: x["id"])).alias("pos", "message_id")).select("summary_id", "message_id", "pos")
-    return made.select("id", "conversation_id", "depth", "content", "token_count", "created_at", F.col("level").alias("compaction_level")), links
+    return made.withColumnRenamed("level", "compaction_level").select(*SUMMARY, *_sources("m"))
 
 
-def condense(tables: dict[str, DataFrame], depth: int, levels: DataFrame, config: EngineConfig, summarizer: Summarizer = first_words) -> tuple[DataFrame, DataFrame]:
-    """One parent for all uncondensed summaries of a depth, where there are enough; and the edges."""
+def _sources(column: str) -> list[Column]:
+    tokens = F.aggregate(F.transform(column, lambda x: x["token_count"].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return [F.transform(column, lambda x: x["id"]).alias("parts"), tokens.alias("source_tokens")]
+
+
+def _message_links(made: DataFrame) -> DataFrame:
+    return made.select(F.col("id").alias("summary_id"), F.posexplode("parts").alias("pos", "message_id")).select("summary_id", "message_id", "pos")
+
+
+def _edges(made: DataFrame) -> DataFrame:
+    return made.select(F.explode("parts").alias("child_id"), F.col("id").alias("parent_id"))
+
+
+def leaf_summaries(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New depth-0 summaries and their message links, for conversations that are due."""
+    made = _leaves(tables, config, summarizer, levels if levels is not None else state(tables, config))
+    return made.select(SUMMARY), _message_links(made)
+
+
+def _parents(tables: dict[str, DataFrame], depth: int, levels: DataFrame, config: EngineConfig, summarizer: Summarizer) -> DataFrame:
+    """One parent, with ``parts``, for all uncondensed summaries of a depth, where there are enough."""
     open_ = dag.uncondensed(tables["summaries"], tables["summary_parents"], depth)
-    parts = F.array_sort(F.collect_list(F.struct("created_at", "id", "content")))
+    parts = F.array_sort(F.collect_list(F.struct("created_at", "id", "content", "token_count")))
     grouped = open_.groupBy("conversation_id").agg(parts.alias("s")).filter(F.size("s") >= config.min_condense).join(levels.select("conversation_id", "level"), "conversation_id")
     level = F.when(F.col("level") == "aggressive", "aggressive").otherwise(level_for_depth(depth + 1, config))
     made = _written(grouped.withColumns({"depth": F.lit(depth + 1), "level": level, "texts": F.transform("s", lambda x: x["content"])}), summarizer)
     made = made.withColumns({"id": _summary_id(F.col("depth"), F.col("s")[0]["id"], F.element_at("s", -1)["id"]), "token_count": estimate_tokens("content"), "created_at": F.element_at("s", -1)["created_at"] + F.expr("interval 1 second")})
-    edges = made.select(F.explode(F.transform("s", lambda x: x["id"])).alias("child_id"), F.col("id").alias("parent_id"))
-    return made.select("id", "conversation_id", "depth", "content", "token_count", "created_at", F.col("level").alias("compaction_level")), edges
+    return made.withColumnRenamed("level", "compaction_level").select(*SUMMARY, *_sources("s"))
+
+
+def condense(tables: dict[str, DataFrame], depth: int, levels: DataFrame, config: EngineConfig, summarizer: Summarizer = first_words) -> tuple[DataFrame, DataFrame]:
+    """One parent for all uncondensed summaries of a depth, where there are enough; and the edges."""
+    made = _parents(tables, depth, levels, config, summarizer)
+    return made.select(SUMMARY), _edges(made)
 
 
 def truncated_leaves(summaries: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
@@ -172,42 +198,32 @@ def compact(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summ
 
 def run(tables: dict[str, DataFrame], config: EngineConfig, summarizer: Summarizer = first_words) -> tuple[dict[str, DataFrame], DataFrame]:
     """``compact``, and its result: ``conversation_id, n_created, depth, tokens_processed``."""
-    cols = ["id", "conversation_id", "depth", "content", "token_count", "created_at", "compaction_level"]
-    open_ = tables["messages"]
-    tables = tables | {"summaries": tables["summaries"].select(cols)}
+    tables = tables | {"summaries": tables["summaries"].select(SUMMARY)}
 
-    def truncated(now: dict[str, DataFrame], levels: DataFrame) -> dict[str, DataFrame]:
-        hard = levels.filter("level = 'deterministic'").select("conversation_id")
+    def truncated(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        hard = state(now, config).filter("level = 'deterministic'").select("conversation_id")
         if hard.isEmpty():
             return now
-        out = truncate(now, config.condensed_summary_budget, hard)
+        out = truncate(now, config.condensed_summary_budget, checkpointed(hard))
         return out | {k: checkpointed(out[k]) for k in ("summaries", "summary_messages")}
 
-    tables = truncated(tables, checkpointed(state(tables, config)))
-    levels = checkpointed(state(tables, config))
-    made, links = leaf_summaries(tables, config, summarizer, levels)
-    made, links = checkpointed(made), checkpointed(links)
-    sources = links.join(open_.select(F.col("id").alias("message_id"), "conversation_id", "token_count"), "message_id").select("conversation_id", "token_count")
-    created = made.select("conversation_id")
-    tables = tables | {"summaries": tables["summaries"].unionByName(made), "summary_messages": tables["summary_messages"].unionByName(links)}
-    changed = not made.isEmpty()
-    for depth in range(config.max_summary_depth):
-        if changed:
-            levels = checkpointed(state(tables, config))
-        made, edges = condense(tables, depth, levels, config, summarizer)
-        made, edges = checkpointed(made), checkpointed(edges)
-        changed = not made.isEmpty()
-        if not changed:
+    tables = truncated(tables)
+    made = checkpointed(_leaves(tables, config, summarizer, state(tables, config)))
+    new = made.select("conversation_id", "source_tokens")
+    tables = tables | {"summaries": tables["summaries"].unionByName(made.select(SUMMARY)), "summary_messages": tables["summary_messages"].unionByName(_message_links(made))}
+    deepest, depth = tables["summaries"].agg(F.max("depth")).first()[0], 0
+    while deepest is not None and depth <= min(deepest, config.max_summary_depth - 1):
+        made = checkpointed(_parents(tables, depth, state(tables, config), config, summarizer))
+        depth += 1
+        if made.isEmpty():
             continue
-        below = edges.join(tables["summaries"].select(F.col("id").alias("child_id"), "conversation_id", "token_count"), "child_id")
-        sources, created = sources.unionByName(below.select("conversation_id", "token_count")), created.unionByName(made.select("conversation_id"))
-        tables = tables | {"summaries": tables["summaries"].unionByName(made), "summary_parents": tables["summary_parents"].unionByName(edges)}
-    tables = truncated(tables, checkpointed(state(tables, config)))
+        deepest, new = max(deepest, depth), new.unionByName(made.select("conversation_id", "source_tokens"))
+        tables = tables | {"summaries": tables["summaries"].unionByName(made.select(SUMMARY)), "summary_parents": tables["summary_parents"].unionByName(_edges(made))}
+    tables = truncated(tables)
     result = tables["messages"].select("conversation_id").distinct()
     for part in (
-        created.groupBy("conversation_id").agg(F.count("*").alias("n_created")),
+        new.groupBy("conversation_id").agg(F.count("*").alias("n_created"), F.sum("source_tokens").alias("tokens_processed")),
         dag.roots(tables["summaries"], tables["summary_parents"]).groupBy("conversation_id").agg(F.max("depth").alias("depth")),
-        sources.groupBy("conversation_id").agg(F.sum("token_count").alias("tokens_processed")),
     ):
         result = result.join(part, "conversation_id", "left")
     return tables, result.na.fill(0)

@@ -57,8 +57,13 @@ def depth_mismatches(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def cycles(tables: dict[str, DataFrame]) -> DataFrame:
-    edges = dag.on_cycles(tables["summary_parents"])
-    return edges.join(tables["summaries"].select(F.col("id").alias("child_id"), BY), "child_id").select(BY, F.col("child_id").alias("item"))
+    """Children on cycles. Every cycle has an edge whose parent is not deeper than its child, so without one nothing is walked."""
+    depths = tables["summaries"].select("id", "depth")
+    edges = tables["summary_parents"]
+    both = edges.join(depths.toDF("child_id", "cd"), "child_id", "left").join(depths.toDF("parent_id", "pd"), "parent_id", "left")
+    if both.filter("cd is null or pd is null or pd <= cd").isEmpty():
+        return tables["summaries"].limit(0).select(BY, F.col("id").alias("item"))
+    return dag.on_cycles(edges).join(tables["summaries"].select(F.col("id").alias("child_id"), BY), "child_id").select(BY, F.col("child_id").alias("item"))
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
