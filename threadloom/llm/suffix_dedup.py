@@ -202,12 +202,11 @@ def split_rows(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(at, [*at[1:], len(order)], strict=True)] if len(at) else []
 
 
-def ordered(text: np.ndarray, at: np.ndarray, length: int, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
+def ordered(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings of ``length`` bytes that start at ``at``, and which of them (in order) differ from the one before.
 
     Eight bytes at a time as one number: positions are sorted by the first
-    eight, and ties, only those, by the next ones. With ``kind`` "stable",
-    parts of ``at`` that are in order already are merged in linear time.
+    eight, and ties, only those, by the next ones.
     """
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -218,7 +217,7 @@ def ordered(text: np.ndarray, at: np.ndarray, length: int, kind: str = "quicksor
         return w >> U(8 * (8 - length)) if length < 8 else w
 
     key = word(at, 0)
-    order = np.argsort(key, kind=kind)
+    order = np.argsort(key)
     new = np.ones(len(at), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     for step in steps[1:]:
@@ -235,10 +234,10 @@ def ordered(text: np.ndarray, at: np.ndarray, length: int, kind: str = "quicksor
 
 
 class SuffixArray:
-    """Text of a batch of documents, the sorted starts of its strings (one for each distinct string) and the smallest document of each."""
+    """The sorted suffixes of a batch's text, cut to the length of a match, each once, and the smallest document of each."""
 
-    def __init__(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray):
-        self.text, self.at, self.docs = text, at, docs
+    def __init__(self, suffixes: np.ndarray, docs: np.ndarray):
+        self.suffixes, self.docs = suffixes, docs
 
     @classmethod
     def of(cls, text: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
@@ -247,13 +246,26 @@ class SuffixArray:
         entry = np.empty(len(at), np.int64)
         entry[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        return cls(text, at[order[first]], np.minimum.reduceat(docs[order], first) if len(first) else docs), entry
-
-    def scanned(self, other: SuffixArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Merge scan of two arrays: their joint text and starts, the joint order, and which entries differ from the one before."""
-        text = np.concatenate([self.text, other.text])
-        at = np.concatenate([self.at, other.at + len(self.text)])
-        return text, at, *ordered(text, at, length, "stable")
+        if not len(first):
+            return cls(np.empty(0, f"S{length}"), docs), entry
+        windows_ = np.lib.stride_tricks.sliding_window_view(text, length)[at[order[first]]]
+        return cls(np.ascontiguousarray(windows_).view(f"S{length}").ravel(), np.minimum.reduceat(docs[order], first)), entry
+
+    def scan(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of ``other`` that this array has too, and the documents here; both are in order, so each search goes on from the last."""
+        if not len(self.suffixes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place = np.minimum(np.searchsorted(self.suffixes, other.suffixes), len(self.suffixes) - 1)
+        hit = np.flatnonzero(self.suffixes[place] == other.suffixes)
+        return hit, self.docs[place[hit]]
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both as one; a stable sort merges two parts that are in order in linear time."""
+        both, docs = np.concatenate([self.suffixes, other.suffixes]), np.concatenate([self.docs, other.docs])
+        order = np.argsort(both, kind="stable")
+        both, docs = both[order], docs[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else order
+        return SuffixArray(both[first], np.minimum.reduceat(docs, first) if len(first) else docs)
 
 
 class SuffixLevels:
@@ -274,18 +286,13 @@ class SuffixLevels:
         own, entry = SuffixArray.of(text, at, docs, self.length)
         earliest = own.docs.copy()
         for _, level in self.levels:
-            _, _, order, new = level.scanned(own, self.length)
-            # equal strings are neighbours, that of the level first
-            hit = np.flatnonzero(~new)
-            ours = order[hit] - len(level.at)
-            earliest[ours] = np.minimum(earliest[ours], level.docs[order[hit - 1]])
+            hit, there = level.scan(own)
+            earliest[hit] = np.minimum(earliest[hit], there)
         found = docs > earliest[entry] if len(at) else np.zeros(0, bool)
         self.levels.append((0, own))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (k, b), (_, a) = self.levels.pop(), self.levels.pop()
-            joint, starts, order, new = a.scanned(b, self.length)
-            first, docs_ = np.flatnonzero(new), np.concatenate([a.docs, b.docs])[order]
-            self.levels.append((k + 1, SuffixArray(joint, starts[order[first]], np.minimum.reduceat(docs_, first) if len(first) else docs_)))
+            self.levels.append((k + 1, a.merged(b)))
         self.most = max(self.most, len(self.levels))
         return found
 
