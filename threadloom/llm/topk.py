@@ -53,8 +53,8 @@ K1, B = 1.2, 0.75
 #: Documents and bytes of text of one shard at most (a single longer text has a shard of its own).
 SHARD_DOCS, SHARD_BYTES = 4_096, 1 << 25
 BLOCK = 16
-#: Distinct terms of all queries of one block at most (a single longer query is a block of its own).
-QUERY_TERMS = 1_000_000
+#: Distinct terms of all queries of one block at most (a single longer query is a block of its own); each block reads all shards once, and sends 16 bytes a term to the tasks.
+QUERY_TERMS = 2_000_000
 #: A term that one in so many of a shard's documents has is common.
 DENSE = 8
 #: Blocks of documents that are taken first, to raise the threshold.
