@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut, text_or_empty
+from threadloom.llm.common import cut, stored, text_or_empty
 from threadloom.llm.components import connected_components
 
 BITS = 64
@@ -257,8 +257,6 @@ WHOLE = 4
 BLOCK = 1 << 22
 #: Members of one part of a large group; two parts at a time meet in a task.
 PART = 4_096
-#: Pairs up to which their ends are broadcast to the shingle sets.
-BROADCAST = 10_000
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -315,7 +313,8 @@ def may_be_alike(fp_a: np.ndarray, fp_b: np.ndarray, size_a: np.ndarray, size_b:
     """Whether fingerprints and sizes allow the similarity.
 
     Sizes decide for certain. At a similarity of 0.8 fingerprints differ in 10
-    of 64 bits on average, so more than ``SIEVE`` has a chance below 1e-4.
+    of 64 bits on average; of random pairs of just that one in 100,000 is beyond
+    the sieve.
     """
     few = np.minimum(size_a, size_b)
     return (np.bitwise_count(fp_a ^ fp_b) <= np.where(few < FEW_SHINGLES, SIEVE_FEW, SIEVE)) & (few >= similarity * np.maximum(size_a, size_b) - 1e-9)
@@ -327,9 +326,10 @@ def candidate_edges(keyed: DataFrame, similarity: float = 0.8) -> DataFrame:
     Within each key each node meets the first and the last in Gray order, in
     small groups also its neighbours, in others also the node nearest to the
     majority of all bits, which in a group of copies is close to their common
-    original; ``key`` is null. These are not all pairs of a group of more than
-    ``WHOLE``: each row of such a group comes out as ``node, fp, size, key``,
-    for ``open_pairs``. ``keyed``: ``key, fp, node, size``.
+    original; ``key`` is null and ``size`` the number of bits that differ. These
+    are not all pairs of a group of more than ``WHOLE``: each row of such a group
+    comes out as ``node, fp, size, key``, for ``open_pairs``. A pair comes once
+    for each key under which it meets. ``keyed``: ``key, fp, node, size``.
     """
     dealt = keyed.select("key", "fp", "node", "size").repartition("key").sortWithinPartitions("key", "fp", "node")
 
@@ -354,14 +354,18 @@ def candidate_edges(keyed: DataFrame, similarity: float = 0.8) -> DataFrame:
                 met.append(np.stack([many, np.repeat(many[nearest[at]], n)]))
             a, b = np.concatenate(met, axis=1)
             near = may_be_alike(fp[a], fp[b], n_shingles[a], n_shingles[b], similarity) & (node[a] != node[b])
-            a, b = node[a[near]], node[b[near]]
+            ends_ = a[near], b[near]
+            a, b = node[ends_[0]], node[ends_[1]]
             large = own > WHOLE
             if parted is not None:
                 large |= key == parted
-            ends = np.concatenate([np.minimum(a, b), node[large]]), np.concatenate([np.maximum(a, b), fp[large].view(np.int64)])
-            edge = np.r_[np.ones(len(a), bool), np.zeros(large.sum(), bool)]
-            under = pa.array(np.concatenate([np.zeros(len(a), np.int64), key[large]]), mask=edge)
-            sizes = pa.array(np.concatenate([np.zeros(len(a), np.int32), n_shingles[large].astype(np.int32)]), mask=edge)
+            differ = np.bitwise_count(fp[ends_[0]] ^ fp[ends_[1]]).astype(np.int32)
+            pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+            pairs, once = np.unique(pairs, axis=0, return_index=True) if len(a) else (pairs, np.empty(0, np.int64))
+            ends = np.concatenate([pairs[:, 0], node[large]]), np.concatenate([pairs[:, 1], fp[large].view(np.int64)])
+            edge = np.r_[np.ones(len(pairs), bool), np.zeros(large.sum(), bool)]
+            under = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), key[large]]), mask=edge)
+            sizes = pa.array(np.concatenate([differ[once], n_shingles[large].astype(np.int32)]))
             return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), sizes, under], ["a", "b", "size", "key"])
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -383,7 +387,14 @@ def candidate_edges(keyed: DataFrame, similarity: float = 0.8) -> DataFrame:
         if held:
             yield edges(*map(np.concatenate, zip(*held, strict=True)), parted)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, size int, key bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, size int, key bigint")
+
+
+def nearest_pairs(edges: DataFrame) -> DataFrame:
+    """``a, b``: of ``edges`` (``a, b, bits``) those that lead from a node to the one whose fingerprint is nearest."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
+    return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def open_pairs(members: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -452,11 +463,13 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
     Links join documents whose distinct shingles have a Jaccard similarity of
     ``similarity`` or more. Candidates are pairs of whole fingerprints within
     ``most`` bits (found by the index), and pairs that share one of their
-    rarest shingles, of which a link always has one (``prefix_keys``). A first
-    round takes few candidates of a large group of one key; a second takes all
-    pairs there that it has not connected. Each candidate is held against the
-    exact similarity, so documents that are less alike are never joined.
-    Documents of equal shingle sets are one node throughout.
+    rarest shingles, of which a link always has one (``prefix_keys``). First the
+    nearest of few candidates of each node is held against the exact similarity,
+    then these other candidates, then all pairs of a large group of one key,
+    each as far as what came before has not connected them. So documents that are
+    less alike are never joined, and shingle sets travel for pairs alone that
+    may still connect something. Documents of equal shingle sets are one node
+    throughout.
     """
     spark = docs.sparkSession
     source = docs.select(*row_key(docs.columns), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
@@ -488,38 +501,43 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    described = cut(source.mapInArrow(describe, "r1 bigint, r2 bigint, doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
+    described = stored(source.mapInArrow(describe, "r1 bigint, r2 bigint, doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
+    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("r1", "r2")).alias("row"), F.first("fp").alias("fp")))
     # copies meet here, before the keys are dealt out; all rows of a node have its fingerprint and keys
-    described_nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("r1", "r2")).alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    nodes = described_nodes.drop("keys")
-    met = cut(candidate_edges(described_nodes.select(F.explode("keys").alias("key"), "fp", "node", "size"), similarity))
-    by_key = met.filter("key is null").select("a", "b")
+    keyed = described.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    met = stored(candidate_edges(keyed.select(F.explode("keys").alias("key"), "fp", "node", "size"), similarity))
     members = met.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("fp"), "size")
     # fingerprints within a few bits: the index gives a forest over fingerprints
     ends = link(nodes.select("fp").distinct(), most)
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    edges = cut(by_key.unionByName(by_bits).distinct())
-    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    rows = nodes.join(wanted, "node").select("node", "row.r1", "row.r2")
-    sets = cut(source.select("r1", "r2", "text").join(rows, ["r1", "r2"]).select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int").alias("bits"))
+    edges = cut(met.filter("key is null").select("a", "b", F.col("size").alias("bits")).unionByName(by_bits).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike; only the shingle sets of their ends are made."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = nodes.join(wanted, "node").select("node", "row.r1", "row.r2")
+        made = stored(source.select("r1", "r2", "text").join(rows, ["r1", "r2"]).select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary"))
+        sets = made.groupBy("node").agg(F.first("hashes").alias("hashes"))
         one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
         return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
 
-    roots = connected_components(verified(edges, sets))
-    rooted = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"))
-    left = cut(open_pairs(members.join(rooted.select("node", "root"), "node"), similarity).join(edges, ["a", "b"], "left_anti"))
-    n = left.count()
-    if n:
-        if n <= BROADCAST:
-            ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-            sets = sets.join(F.broadcast(ends), "node", "left_semi")
+    def connected(rooted: DataFrame, pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
+        """``rooted`` (``node, root, least``) after those of ``pairs`` that join two roots and are alike; ``done`` ones were looked at before."""
         of_root = rooted.select("node", "root")
-        more = verified(left, sets).join(of_root.toDF("a", "x"), "a").join(of_root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        last = connected_components(more).toDF("root", "last")
-        rooted = rooted.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"), "least")
+        ends_of = lambda p: p.join(of_root.toDF("a", "x"), "a").join(of_root.toDF("b", "y"), "b")
+        left = ends_of(pairs).filter("x <> y").select("a", "b").distinct()
+        left = stored(left if done is None else left.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        if left.isEmpty():
+            return rooted
+        last = connected_components(ends_of(verified(left)).select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("root", "last")
+        return stored(rooted.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"), "least"))
+
+    # the nearest of each node; other candidates of the first round; then all pairs under one key: each only as far as those before have not connected
+    nearest = stored(nearest_pairs(edges))
+    rooted = connected(nodes.select("node", F.col("node").alias("root"), "least"), nearest)
+    rooted = connected(rooted, edges.select("a", "b"), nearest)
+    rooted = connected(rooted, open_pairs(members.join(rooted.select("node", "root"), "node"), similarity), edges)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("node", "root", "component_id")
     return described.select("r1", "r2", "doc_id", "node").join(named, "node").select("r1", "r2", "doc_id", "root", "component_id")
