@@ -203,6 +203,65 @@ def test_similar_documents_star(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+@pytest.mark.parametrize("part_docs", [256, 30])
+def test_pairs_of_a_group_stay_in_tasks(spark, monkeypatch, part_docs):
+    """A group whose members are nearly alike enough: tables grow with its members, not its pairs, and every link counts."""
+    n, rng = 240, np.random.default_rng(11)
+    base = [f"w{k}" for k in range(204)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        # three words with five shingles each: two texts have a similarity of about 0.74, more where their places are near
+        for x, at in enumerate(rng.choice(np.arange(5, 200, 5), 3, replace=False) + rng.integers(0, 5)):
+            words[at] = f"v{i}-{x}"
+        rows.append((i, " ".join(words)))
+    of = [{tuple(t.split()[k : k + 5]) for k in range(200)} for _, t in rows]
+    links = [(a, b) for a in range(n) for b in range(a) if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])]
+    up = np.arange(n)
+    simhash._hook(up, *np.array(links).T)
+    while not np.array_equal(last := up[up], up):
+        up = last
+    assert 2 < len(set(up)) < n
+    counts, write = [], simhash.stored
+
+    def counted(df):
+        out = write(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "PART_DOCS", part_docs, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == {i: int(up[i]) for i in range(n)}
+    keys = sum(len(simhash.prefix_keys(simhash.shingle_set(t, 5), np.zeros(1 << simhash.SLOT_BITS, np.int64), 0.8)) for _, t in rows)
+    assert max(counts) <= 2 * keys < n * (n - 1) // 2
+    assert max(counts[2:]) <= (1 if part_docs > n else 8) * n
+
+
+def test_alike_edges_by_brute_force():
+    rng = np.random.default_rng(5)
+    for similarity in (0.5, 0.8):
+        for n in (1, 2, 3, 40):
+            pool = np.unique(rng.integers(0, 2**64, 40, dtype=np.uint64))
+            sets = [np.sort(rng.choice(pool, int(rng.integers(0, 40)), replace=False)) for _ in range(n)]
+            sets += [np.sort(s[rng.random(len(s)) > 0.1]) for s in sets[: n // 2]]
+            if len(sets) < 2:
+                continue
+            alike = lambda p, q: (c := len(np.intersect1d(p, q))) and c >= similarity * (len(p) + len(q) - c) - 1e-9  # noqa: B023, E731
+            links = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+            edges = simhash.alike_edges(sets, similarity)
+            assert len(edges) < len(sets) and all(alike(sets[a], sets[b]) for a, b in edges)
+            roots = []
+            for pairs in (links, edges):
+                up = np.arange(len(sets))
+                simhash._hook(up, *np.array(pairs, np.int64).reshape(-1, 2).T)
+                while not np.array_equal(last := up[up], up):
+                    up = last
+                roots.append(up.tolist())
+            assert roots[0] == roots[1]
+
+
 @pytest.mark.parametrize("part", [4096, 37])
 def test_several_clusters_under_one_key(spark, monkeypatch, part):
     """Pairs that are neither first, last nor nearest to the middle of their key meet all the same."""

@@ -23,7 +23,7 @@ rows are repeated in the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -257,6 +257,8 @@ WHOLE = 4
 BLOCK = 1 << 22
 #: Members of one part of a large group; two parts at a time meet in a task.
 PART = 4_096
+#: A block of candidates is dealt to parts of about so many documents, ``SPREAD`` parts at most, or to more of about so many bytes of shingles.
+PART_DOCS, SPREAD, PART_BYTES = 256, 16, 1 << 24
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -390,19 +392,41 @@ def candidate_edges(keyed: DataFrame, similarity: float = 0.8) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, size int, key bigint")
 
 
-def nearest_pairs(edges: DataFrame) -> DataFrame:
-    """``a, b``: of ``edges`` (``a, b, bits``) those that lead from a node to the one whose fingerprint is nearest."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    nearest = both.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
-    return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def spanning_forest(order: np.ndarray, linked: Callable[[int], np.ndarray], group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect just those of the members 0, 1, ... that all their links connect.
 
-
-def open_pairs(members: DataFrame, similarity: float = 0.8) -> DataFrame:
+    ``linked`` gives the members linked with one, ``group`` those connected
+    before. Each member is held against all others, in ``order``, until those
+    that are left are of one component: members of the largest component come
+    last, so a group around a few originals takes a few steps. No more links come
+    out than there are members.
+    """
+    comp = np.arange(len(order)) if group is None else np.unique(group, return_inverse=True)[1]
+    left, out = order, []
+    while len(left):
+        count = np.bincount(comp[left])
+        other = np.flatnonzero(comp[left] != count.argmax())
+        if not len(other):
+            break
+        i = int(left[other[0]])
+        left = np.delete(left, other[0])
+        met = linked(i)
+        apart = met[comp[met] != comp[i]]
+        if len(apart):
+            joined, first = np.unique(comp[apart], return_index=True)
+            out += [(i, int(apart[k])) for k in first]
+            comp[np.isin(comp, joined)] = comp[i]
+    return out
+
+
+def open_pairs(members: DataFrame, similarity: float = 0.8, forest: bool = False) -> DataFrame:
     """``a, b``: all pairs under one key that are not connected yet and may be alike, by fingerprint and size.
 
     ``members``: ``key, fp, node, root, size``. Keys whose members are all
     connected go first. A group is dealt to parts of about ``PART`` members, of
     which two at a time meet in a task, in blocks of at most ``BLOCK`` pairs.
+    ``forest``: of all these pairs only as many as connect what they connect, so
+    that the rows grow with the members.
     """
     own = members.select("key", "fp", "node", "root", "size")
     live = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
@@ -413,6 +437,14 @@ def open_pairs(members: DataFrame, similarity: float = 0.8) -> DataFrame:
     def pairs(x: np.ndarray, y: np.ndarray, part: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (root == root[0]).all():
             return
+        if forest:
+            bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            major = np.packbits(2 * bits.sum(0) > len(fp), bitorder="little").view(np.uint64)[0]
+            near_to = lambda i: np.flatnonzero(may_be_alike(fp[i], fp, size[i], size, similarity))
+            ends = np.array(spanning_forest(np.argsort(np.bitwise_count(fp ^ major), kind="stable"), near_to, root), np.int64).reshape(-1, 2)
+            a, b = node[ends[:, 0]], node[ends[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return
         # one part against itself, or the first part against the second
         border = len(part) if x[0] == y[0] else int((part == x[0]).sum())
         start = 0 if x[0] == y[0] else border
@@ -451,6 +483,82 @@ def open_pairs(members: DataFrame, similarity: float = 0.8) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def alike_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of Jaccard similarity ``similarity`` or more among sets of distinct hashes."""
+    n = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if common and common >= similarity * (n.sum() - common) - 1e-9 else []
+    _, own, df = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(sets)), n)
+    # shingles that one set alone has link nothing
+    shared = df[own] > 1
+    own, member = own[shared], member[shared]
+    post = member[np.argsort(own, kind="stable")]
+    start = np.cumsum(np.where(df > 1, df, 0)) - df
+    at = np.searchsorted(member, np.arange(len(sets) + 1))
+
+    def linked(i: int) -> np.ndarray:
+        ids = own[at[i] : at[i + 1]]
+        times = df[ids]
+        common = np.bincount(post[np.repeat(start[ids] - (np.cumsum(times) - times), times) + np.arange(times.sum())], minlength=len(sets))
+        return np.flatnonzero((common > 0) & (common >= similarity * (n[i] + n - common) - 1e-9))
+
+    weight = np.bincount(member, df[own], len(sets)) / np.maximum(n, 1)
+    return spanning_forest(np.argsort(-weight, kind="stable"), linked)
+
+
+def verified_forest(sets: DataFrame, blocks: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``a, b``: links that connect just those nodes of each block that the exact similarity connects.
+
+    ``blocks``: ``node, block, size``; ``sets``: ``node, hashes`` (rows of a
+    node may repeat). All documents of a block meet with their whole shingle
+    sets in a task, or, of a large block, two parts at a time; only a forest
+    leaves it.
+    """
+    sized = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    spread = F.least(F.lit(SPREAD), F.ceil(F.col("n") / F.lit(PART_DOCS)))
+    parts = sized.select("block", F.greatest(spread, F.ceil(F.col("shingles") * 8 / F.lit(PART_BYTES))).cast("int").alias("parts"))
+    parted = blocks.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # with several parts each meets every other one; its own documents meet in any of these tasks
+    several = F.expr("filter(sequence(0, parts - 1), k -> k <> part)")
+    cells = parted.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(several)))
+    cells = cells.select("block", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node")
+    dealt = cells.join(sets, "node").select("block", "x", "y", "node", "hashes").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        nodes: list[int] = []
+        cell: tuple[int, ...] | None = None
+        made: list[tuple[int, int]] = []
+
+        def rows() -> pa.RecordBatch:
+            ends = np.array(made, np.int64).reshape(-1, 2)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+        def flush() -> None:
+            if len(nodes) > 1:
+                made.extend((nodes[i], nodes[j]) for i, j in alike_edges(held, similarity))
+            nodes.clear()
+            held.clear()
+
+        for batch in batches:
+            for *of, node, hashes in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if tuple(of) != cell:
+                    flush()
+                    cell = tuple(of)
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    held.append(np.frombuffer(hashes.as_py(), np.uint64))
+            if made:
+                yield rows()
+        flush()
+        yield rows()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def row_key(columns: list[str]) -> list[Column]:
     """``r1, r2``: 128 bits that stand for a row's values; null is not the empty text."""
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns] + [F.col(c).isNull() for c in columns]
@@ -463,13 +571,13 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
     Links join documents whose distinct shingles have a Jaccard similarity of
     ``similarity`` or more. Candidates are pairs of whole fingerprints within
     ``most`` bits (found by the index), and pairs that share one of their
-    rarest shingles, of which a link always has one (``prefix_keys``). First the
-    nearest of few candidates of each node is held against the exact similarity,
-    then these other candidates, then all pairs of a large group of one key,
-    each as far as what came before has not connected them. So documents that are
-    less alike are never joined, and shingle sets travel for pairs alone that
-    may still connect something. Documents of equal shingle sets are one node
-    throughout.
+    rarest shingles, of which a link always has one (``prefix_keys``). They never
+    leave a task as pairs: each key gives a forest that connects its candidates,
+    and the components of all these are blocks, within which every link lies.
+    All documents of a block are held against the exact similarity, each with its
+    shingle set made once, and again only a forest comes out. So documents that
+    are less alike are never joined, and rows grow with the documents whatever
+    the size of a group. Documents of equal shingle sets are one node throughout.
     """
     spark = docs.sparkSession
     source = docs.select(*row_key(docs.columns), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
@@ -491,18 +599,8 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9 and bool(len(p)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
     described = stored(source.mapInArrow(describe, "r1 bigint, r2 bigint, doc_id bigint, node bigint, fp bigint, size int, keys array<bigint>"))
-    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("r1", "r2")).alias("row"), F.first("fp").alias("fp")))
+    nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("r1", "r2")).alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size")))
     # copies meet here, before the keys are dealt out; all rows of a node have its fingerprint and keys
     keyed = described.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     met = stored(candidate_edges(keyed.select(F.explode("keys").alias("key"), "fp", "node", "size"), similarity))
@@ -510,34 +608,16 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, most:
     # fingerprints within a few bits: the index gives a forest over fingerprints
     ends = link(nodes.select("fp").distinct(), most)
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int").alias("bits"))
-    edges = cut(met.filter("key is null").select("a", "b", F.col("size").alias("bits")).unionByName(by_bits).distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike; only the shingle sets of their ends are made."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = nodes.join(wanted, "node").select("node", "row.r1", "row.r2")
-        made = stored(source.select("r1", "r2", "text").join(rows, ["r1", "r2"]).select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary"))
-        sets = made.groupBy("node").agg(F.first("hashes").alias("hashes"))
-        one, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("q"))
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(alike, "a bigint, b bigint")
-
-    def connected(rooted: DataFrame, pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
-        """``rooted`` (``node, root, least``) after those of ``pairs`` that join two roots and are alike; ``done`` ones were looked at before."""
-        of_root = rooted.select("node", "root")
-        ends_of = lambda p: p.join(of_root.toDF("a", "x"), "a").join(of_root.toDF("b", "y"), "b")
-        left = ends_of(pairs).filter("x <> y").select("a", "b").distinct()
-        left = stored(left if done is None else left.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if left.isEmpty():
-            return rooted
-        last = connected_components(ends_of(verified(left)).select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("root", "last")
-        return stored(rooted.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"), "least"))
-
-    # the nearest of each node; other candidates of the first round; then all pairs under one key: each only as far as those before have not connected
-    nearest = stored(nearest_pairs(edges))
-    rooted = connected(nodes.select("node", F.col("node").alias("root"), "least"), nearest)
-    rooted = connected(rooted, edges.select("a", "b"), nearest)
-    rooted = connected(rooted, open_pairs(members.join(rooted.select("node", "root"), "node"), similarity), edges)
+    by_bits = ends.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = connected_components(met.filter("key is null").select("a", "b").unionByName(by_bits)).toDF("node", "block")
+    # large groups: all their pairs, as far as these candidates have not connected them
+    rest = open_pairs(members.join(first, "node", "left").select("key", "fp", "node", F.coalesce("block", "node").alias("root"), "size"), similarity, forest=True)
+    forest = first.select(F.col("node").alias("a"), F.col("block").alias("b")).unionByName(rest)
+    blocks = stored(connected_components(forest).toDF("node", "block").join(nodes.select("node", "size"), "node"))
+    rows = nodes.join(blocks.select("node"), "node").select("node", "row.r1", "row.r2")
+    sets = stored(source.select("r1", "r2", "text").join(rows, ["r1", "r2"]).select("node", "text").mapInArrow(sets_of, "node bigint, hashes binary"))
+    roots = connected_components(verified_forest(sets, blocks, similarity))
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("node", "root", "component_id")
     return described.select("r1", "r2", "doc_id", "node").join(named, "node").select("r1", "r2", "doc_id", "root", "component_id")
