@@ -175,6 +175,11 @@ def test_chunks_keep_order_and_bound(rows, target):
             assert len(costs) == 1 or sum(costs) <= -(-11 * target // 10) + 1e-9
 
 
+def test_chunk_bound_is_exact():
+    """A tenth over 100 is 110, not the 111 that 1.1 * 100 rounds up to."""
+    assert compact.chunk_numbers([1, 1, 49, 60], [False] * 4, 100) == [0, 0, 0, 1]
+
+
 def test_chunk_fixture(spark):
     assert compact.chunk_numbers([50] * 6, [True, False] * 3, 100) == [0, 0, 1, 1, 2, 2]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from threadloom.sources.checkpoint import checkpointed
 
 #: (texts, depth, level) -> summary text.
 Summarizer = Callable[[Sequence[str], int, str], str]
-OVER = 1.1
+OVER = Fraction(11, 10)
 
 
 def first_words(texts: Sequence[str], depth: int, level: str) -> str:
