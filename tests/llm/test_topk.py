@@ -83,3 +83,24 @@ def test_blocks_below_the_threshold_are_not_read():
         scores = [sum(i * c[w] * 2.2 / (c[w] + 1.2) for w, i in zip(words, idf, strict=True) if c[w]) for c in own]
         assert list(top.doc) == sorted(range(2000), key=lambda d: (-round(scores[d], 9), d))[:10]
     assert 0 < shard.read_ < shard.known / 2, (shard.read_, shard.known)
+
+
+def test_batches_of_queries_over_parts_of_a_shard(spark, monkeypatch):
+    """Every document is scored once, whatever part of the batch's queries needs it, and copies in other shards are found each."""
+    for name, value in (("SHARD_DOCS", 700), ("BATCH", 9), ("BATCH_POSTS", 3000), ("TILE", 4), ("FIRST", 2), ("COMMON", 20)):
+        monkeypatch.setattr(topk, name, value)
+    rows = corpus(1100, 3)
+    rows += [(30_000 + i, text) for i, (_, text) in enumerate(rows[:40])] + [(40_000 + i, rows[7][1] or "w1 w2") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in topk.search(docs, docs.filter("doc_id % 15 = 0"), 6).collect())
+    assert got == brute(rows, [r for r in rows if r[0] % 15 == 0], 6)
+
+
+def test_copies_are_scored_once(spark):
+    """A text that many documents have is in the running best only once, and is found as often as it stands."""
+    rows = [(i, "w1 w2 w3") for i in range(40)] + [(40, "w1 w2"), (41, "w4"), (41, "w1 w9"), (42, "w1 w9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same = topk.copies(topk.build_index(docs), 10).collect()
+    assert sorted(r.doc_id for r in same if r.number == 1) == [0, 40, 41, 41] and len(same) == 10 + 1 + 1 + 2
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in topk.search(docs, docs.filter("doc_id >= 39"), 10).collect())
+    assert {(q, r, d) for q, r, d, _ in got if q in (39, 40)} == {(q, i + 1, d) for q in (39, 40) for i, d in enumerate([40] * (q == 40) + list(range(10 - (q == 40))))}

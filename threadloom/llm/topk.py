@@ -34,6 +34,7 @@ queries nor found; repeated rows are found each.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections import Counter
@@ -43,11 +44,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut, ensure_checkpoint_dir, text_or_empty
+from threadloom.llm.common import cut, ensure_checkpoint_dir, stored, text_or_empty
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of one shard at most (a single longer text has a shard of its own).
@@ -55,12 +57,24 @@ SHARD_DOCS, SHARD_BYTES = 4_096, 1 << 25
 BLOCK = 16
 #: Distinct terms of all queries of one block at most (a single longer query is a block of its own); each block reads all shards once, and sends 16 bytes a term to the tasks.
 QUERY_TERMS = 2_000_000
-#: A term that one in so many of a shard's documents has is common.
-DENSE = 8
-#: Blocks of documents that are taken first, to raise the threshold.
-FIRST = 8
+#: A term that one in so many of a shard's documents has is common; so many of the most frequent at most, the others keep their postings.
+DENSE, COMMON = 32, 1_024
+#: Queries of a batch, and postings of their rarer terms, at most (a single query with more is a batch of its own).
+BATCH, BATCH_POSTS = 256, 2_000_000
+#: Blocks of documents that are scored together; and those of each query's best such tile that are taken first, to raise the threshold.
+TILE, FIRST = 64, 8
 WORD = re.compile(r"\w+")
-INDEX = "docs binary, lengths binary, terms binary, starts binary, post_doc binary, post_tf binary"
+INDEX = "shard bigint, digests binary, docs binary, lengths binary, terms binary, starts binary, post_doc binary, post_tf binary"
+#: Bits of a document's number in its shard; a place is the shard and that number.
+PLACE = 15
+
+
+class Hashes(dict):
+    """Word -> hash."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
 
 def terms_of(text: str) -> list[str]:
@@ -72,6 +86,7 @@ class Shard:
 
     def __init__(self, docs, lengths, terms, starts, post_doc, post_tf):
         self.docs, self.lengths, self.terms, self.starts, self.post_doc, self.post_tf = docs, lengths, terms, starts, post_doc, post_tf
+        self.places = np.arange(len(docs))
         self.known = self.read_ = 0
 
     @classmethod
@@ -92,94 +107,199 @@ class Shard:
         kinds = {"docs": np.int64, "lengths": np.int64, "terms": np.uint64, "starts": np.int64, "post_doc": np.uint32, "post_tf": np.uint32}
         return cls(*(np.frombuffer(row[k], t) for k, t in kinds.items()))
 
+    def only(self, alive: np.ndarray, shard: int = 0) -> Shard:
+        """The index of some of the documents, which keep their places."""
+        kept = self
+        if not alive.all():
+            some = alive[self.post_doc]
+            starts = np.append(0, np.cumsum(some))[self.starts]
+            held = np.diff(starts) > 0
+            number = (np.cumsum(alive) - 1).astype(np.uint32)
+            kept = Shard(self.docs[alive], self.lengths[alive], self.terms[held], np.append(starts[:-1][held], starts[-1]), number[self.post_doc[some]], self.post_tf[some])
+        kept.places = np.flatnonzero(alive) + (shard << PLACE)
+        return kept
+
     def prepare(self, avgdl: float) -> None:
-        """Contributions (but for the idf), and the blocks of each term with their maxima."""
+        """Contributions (but for the idf), and the common terms' matrix with its maxima by block."""
         norm = K1 * (1 - B + B * self.lengths / avgdl)
+        self.df = np.diff(self.starts)
+        # half the width stays in the cache
+        self.post = self.post_doc.astype(np.uint16) if len(self.docs) <= 1 << 16 else self.post_doc
         tf = self.post_tf.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.post_doc])
-        block = self.post_doc // BLOCK
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.starts[:-1]] = True
-        self.block_start = np.append(np.flatnonzero(new), len(block))
-        self.block_of = block[self.block_start[:-1]].astype(np.int64)
-        self.block_max = np.maximum.reduceat(self.impact, self.block_start[:-1]) if len(block) else self.impact
-        self.term_block = np.searchsorted(self.block_start, self.starts)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.post])
+        # a rarer term mostly stands once in a document, and its contribution then follows from the document; the others' postings also have what is beyond that
+        self.single = np.zeros(-(-len(self.docs) // BLOCK) * BLOCK)
+        self.single[: len(norm)] = (K1 + 1) / (1 + norm)
+        more = np.flatnonzero(self.post_tf > 1)
+        self.more_starts, self.more_doc = np.searchsorted(more, self.starts), self.post[more]
+        self.more = self.impact[more] - self.single[self.post[more]]
         self.n_blocks = -(-len(self.docs) // BLOCK)
-        # terms that many documents have are rows of a matrix: their postings would be nearly as long
-        df = np.diff(self.starts)
-        common = np.flatnonzero(df * DENSE >= max(len(self.docs), DENSE * BLOCK))
-        self.dense_row = np.full(len(self.terms), -1)
-        self.dense_row[common] = np.arange(len(common))
+        # terms that many documents have are columns of a matrix: their postings would be nearly as long
+        common = np.flatnonzero(self.df * DENSE >= max(len(self.docs), DENSE * BLOCK))
+        if len(common) > COMMON:
+            common = np.sort(common[np.argsort(-self.df[common], kind="stable")[:COMMON]])
+        self.column = np.full(len(self.terms), -1)
+        self.column[common] = np.arange(len(common))
         self.dense = np.zeros((self.n_blocks * BLOCK, len(common)))
         for k, t in enumerate(common):
             lo, hi = self.starts[t], self.starts[t + 1]
-            self.dense[self.post_doc[lo:hi], k] = self.impact[lo:hi]
-        self.dense_max = self.dense.reshape(self.n_blocks, BLOCK, len(common)).max(1)
+            self.dense[self.post[lo:hi], k] = self.impact[lo:hi]
+        self.rough = self.dense.astype(np.float32)
+        self.rough_max = self.rough.reshape(self.n_blocks, BLOCK, len(common)).max(1)
+        # sums of so many positive numbers of 32 bits are right up to this share
+        self.slack = (len(common) + 16) * 2.0**-23
 
     def search(self, terms: np.ndarray, idf: np.ndarray, top: TopK) -> None:
-        """Run one query (sorted term hashes) and update its top k.
-
-        A block's bound is the sum of its terms' maxima. In the blocks that may
-        reach the k-th score, the rarer terms' postings are added up; a document
-        that may still reach it with the common terms' maxima of its block gets
-        its common terms too.
+        """Run one query (sorted term hashes) and update its top k."""
+        self.search_all(Plan([(0, terms)], terms, idf), top)
+
+    def search_all(self, plan: Plan, top: TopK) -> None:
+        """Run all queries of a plan and update their top k, a batch of queries at a time."""
+        place = np.full(len(plan.terms), -1)
+        at = np.minimum(np.searchsorted(plan.terms, self.terms), len(plan.terms) - 1)
+        own = np.flatnonzero(plan.terms[at] == self.terms)
+        place[at[own]] = own
+        term = place[plan.ids]
+        own = term >= 0
+        query, term, weight = plan.query[own], term[own], plan.weight[own]
+        self.known += int(self.df[term].sum())
+        column = self.column[term]
+        some = column >= 0
+        common = (query[some], column[some], weight[some])
+        query, term, weight = query[~some], term[~some], weight[~some]
+        posts = np.cumsum(np.bincount(query, self.df[term], len(plan.docs)))
+        a = 0
+        while a < len(plan.docs):
+            b = min(a + BATCH, max(a + 1, int(np.searchsorted(posts, (posts[a - 1] if a else 0) + BATCH_POSTS, "right"))))
+            r, c = slice(*np.searchsorted(query, (a, b))), slice(*np.searchsorted(common[0], (a, b)))
+            self._batch(top, a, b - a, (query[r] - a, term[r], weight[r]), (common[0][c] - a, common[1][c], common[2][c]))
+            a = b
+
+    def _batch(self, top: TopK, a: int, m: int, rare: tuple, common: tuple) -> None:
+        """Queries ``a`` to ``a + m`` of ``top``; ``rare`` (query, term, idf) and ``common`` (query, column, idf) are sorted by query.
+
+        The rarer terms' postings are added up first: their lists are shorter
+        than the list of blocks. A block's bound is the best such sum in it and
+        the common terms' maxima. Where a bound may reach the k-th score, the
+        common terms are added in 32 bits, and documents that may still reach it
+        are scored in 64.
         """
-        at = np.searchsorted(self.terms, terms)
-        own = at < len(self.terms)
-        own[own] = self.terms[at[own]] == terms[own]
-        at, weight = at[own], idf[own]
-        if not len(at):
+        width = self.n_blocks * BLOCK
+        if not width or not len(rare[0]) + len(common[0]):
             return
-        self.known += int((self.starts[at + 1] - self.starts[at]).sum())
-        row = self.dense_row[at]
-        common = row >= 0
-        full = np.zeros(self.dense.shape[1])
-        full[row[common]] = weight[common]
-        common_max = self.dense_max @ full
-        at, weight = at[~common], weight[~common]
-        lo = self.term_block[at]
-        n = self.term_block[at + 1] - lo
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        entry_weight, block = np.repeat(weight, n), self.block_of[entry]
-        bound = (np.bincount(block, entry_weight * self.block_max[entry], self.n_blocks) + common_max) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        for part in (order[:FIRST], order[FIRST:]):
-            live = np.zeros(self.n_blocks, bool)
-            live[part[(bound[part] > 0) & (bound[part] >= top.least())]] = True
-            if not live.any():
-                continue
-            some = live[block]
-            e = entry[some]
-            size = self.block_start[e + 1] - self.block_start[e]
-            post = np.repeat(self.block_start[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            self.read_ += len(post)
-            score = np.bincount(self.post_doc[post], np.repeat(entry_weight[some], size) * self.impact[post], self.n_blocks * BLOCK)
-            most = score.reshape(self.n_blocks, BLOCK) + common_max[:, None]
-            doc = np.flatnonzero((live[:, None] & (most > 0) & (most * (1 + 1e-9) >= top.least())).ravel())
-            doc = doc[doc < len(self.docs)]
-            self.read_ += len(doc) * int(common.sum())
-            if len(doc):
-                total = score[doc] + self.dense[doc] @ full
+        query, term, weight = rare
+        self.read_ += int(self.df[term].sum())
+
+        def added(starts: np.ndarray, doc: np.ndarray, gain: np.ndarray | None = None) -> np.ndarray:
+            lo = starts[term]
+            n = starts[term + 1] - lo
+            post = np.repeat(lo - (np.cumsum(n) - n), n)
+            post += np.arange(len(post))
+            slot, value = np.repeat(query * width, n), np.repeat(weight, n)
+            slot += doc[post]
+            if gain is not None:
+                value *= gain[post]
+            return np.bincount(slot, value, m * width).reshape(m, width)
+
+        base = added(self.starts, self.post)
+        base *= self.single
+        base += added(self.more_starts, self.more_doc, self.more)
+        query, column, weight = common
+        asked = np.zeros((m, self.dense.shape[1]), np.float32)
+        asked[query, column] = weight
+        first = np.searchsorted(query, np.arange(m + 1))
+        size = np.diff(first)
+        most = short = base.astype(np.float32)
+        for _ in range(BLOCK.bit_length() - 1):
+            most = np.maximum(most[:, ::2], most[:, 1::2])
+        bound = (most + asked @ self.rough_max.T) * (1 + self.slack)
+        bound[bound <= 0] = -np.inf
+        best = bound.argmax(1) // TILE
+        for early in (True, False):
+            for lo in range(0, self.n_blocks, TILE):
+                hi, least = min(lo + TILE, self.n_blocks), top.least_of(a, m)
+                part = bound[:, lo:hi]
+                live = (part >= least[:, None]) & (part > 0)
+                if early:
+                    live &= (best == lo // TILE)[:, None]
+                    if FIRST < hi - lo:
+                        live &= part >= np.partition(part, -FIRST, axis=1)[:, [-FIRST]]
+                q = np.flatnonzero(live.any(1))
+                if not len(q):
+                    continue
+                least, live = least[q], np.flatnonzero(live.any(0))
+                fresh = part[np.ix_(q, live)] > 0
+                bound[np.ix_(q, lo + live)] = -np.inf
+                docs = slice(lo * BLOCK, hi * BLOCK) if len(live) == hi - lo else ((lo + live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                rough = self.rough[docs]
+                score = (asked if len(q) == m else asked[q]) @ rough.T
+                score += short[:, docs] if len(q) == m else short[:, docs][q]
+                self.read_ += int(size[q].sum()) * len(rough)
+                need = np.maximum(least, 0)
+                new = np.flatnonzero(np.isneginf(least))
+                if len(new) and score.shape[1] >= top.k:
+                    need[new] = np.partition(score[new], -top.k, axis=1)[:, -top.k] * (1 - self.slack) - 1e-9
+                # what is positive stays so in 32 bits
+                i, d = np.nonzero(score >= np.maximum(need * (1 - self.slack), 1e-30)[:, None].astype(np.float32))
+                new = fresh[i, d // BLOCK]
+                i, d = i[new], d[new]
+                if not len(i):
+                    continue
+                n = size[q[i]]
+                entry = np.repeat(first[q[i]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                doc = (np.arange(docs.start, docs.stop) if isinstance(docs, slice) else docs)[d]
+                total = base[q[i], doc] + np.bincount(np.repeat(np.arange(len(i)), n), self.dense[np.repeat(doc, n), column[entry]] * weight[entry], len(i))
                 # sums of equal texts may differ in their last bits
-                total = np.round(total, 9)
-                hit = total >= max(top.least(), 1e-300)
-                top.add(total[hit], self.docs[doc[hit]])
+                top.add(a + q[i], np.round(total, 9), self.docs[doc], self.places[doc])
+
+
+class Plan:
+    """The queries of a block: ``docs``, and for each of their terms the ``query``, the place in ``terms`` (``ids``) and the ``weight``."""
+
+    def __init__(self, asked: list[tuple[int, np.ndarray]], terms: np.ndarray, idf: np.ndarray):
+        self.docs, self.terms, self.idf = np.array([q for q, _ in asked], np.int64), terms, idf
+        self.sizes = np.array([len(t) for _, t in asked], np.int64)
+        self.ids = np.searchsorted(terms, np.concatenate([t for _, t in asked])).astype(np.int32)
+        self.__setstate__(self.__getstate__())
+
+    def __getstate__(self) -> tuple:
+        return self.docs, self.terms, self.idf, self.sizes, self.ids
+
+    def __setstate__(self, state: tuple) -> None:
+        self.docs, self.terms, self.idf, self.sizes, self.ids = state
+        self.query = np.repeat(np.arange(len(self.docs)), self.sizes)
+        self.weight = self.idf[self.ids]
 
 
 class TopK:
-    """The best k (score, doc_id) so far; equal scores: the smaller doc_id."""
+    """The best k (score, doc_id) and their places of each of ``n`` queries so far; equal scores: the smaller doc_id."""
 
-    def __init__(self, k: int):
-        self.k, self.score, self.doc = k, np.empty(0), np.empty(0, np.int64)
+    def __init__(self, k: int, n: int = 1):
+        self.k, self.scores, self.docs, self.places = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
 
-    def least(self) -> float:
-        return self.score[-1] if len(self.score) == self.k else -np.inf
+    @property
+    def doc(self) -> np.ndarray:
+        return self.docs[np.isfinite(self.scores)]
 
-    def add(self, score: np.ndarray, doc: np.ndarray) -> None:
-        score, doc = np.concatenate([self.score, score]), np.concatenate([self.doc, doc])
-        best = np.lexsort((doc, -score))[: self.k]
-        self.score, self.doc = score[best], doc[best]
+    @property
+    def score(self) -> np.ndarray:
+        return self.scores[np.isfinite(self.scores)]
+
+    def least_of(self, a: int, m: int) -> np.ndarray:
+        """What a sum must reach to be among the k best once rounded."""
+        return self.scores[a : a + m, -1] - 1e-9
+
+    def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+        some = score >= self.scores[query, -1]
+        own = np.unique(query[some])
+        held = np.isfinite(self.scores[own])
+        query, score, doc, place = (np.concatenate([old, new[some]]) for old, new in ((np.repeat(own, held.sum(1)), query), (self.scores[own][held], score), (self.docs[own][held], doc), (self.places[own][held], place)))
+        order = np.lexsort((place, doc, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.k
+        at, order = (query[keep], rank[keep]), order[keep]
+        self.scores[at], self.docs[at], self.places[at] = score[order], doc[order], place[order]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -187,42 +307,52 @@ def build_index(docs: DataFrame) -> DataFrame:
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        ids, lengths, hashes, counts, size = [], [], [], [], 0
+        known, first, made = Hashes(), TaskContext.get().partitionId() << 24, 0
+        ids, lengths, hashes, counts, digests, size = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            row = Shard.build(ids, lengths, hashes, counts).row()
-            for x in (ids, lengths, hashes, counts):
+            row = (b"".join(digests), *Shard.build(ids, lengths, hashes, counts).row())
+            for x in (ids, lengths, hashes, counts, digests):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], [c.split()[0] for c in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], [c.split()[0] for c in INDEX.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = text.as_py()
                 if ids and (len(ids) == SHARD_DOCS or size + len(t) > SHARD_BYTES):
                     yield flush()
-                    size = 0
+                    size, made = 0, made + 1
                 size += len(t)
                 words = terms_of(t)
                 own = Counter(words)
                 if len(known) > 1_000_000:
                     known.clear()
-                h = []
-                for w in own:
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = xxhash.xxh64_intdigest(w)
-                    h.append(x)
                 ids.append(doc)
                 lengths.append(len(words))
-                hashes.append(np.array(h, np.uint64))
+                hashes.append(np.fromiter(map(known.__getitem__, own), np.uint64, len(own)))
                 counts.append(np.fromiter(own.values(), np.uint32, len(own)))
+                digests.append(hashlib.blake2b(t.encode(), digest_size=16).digest())
         if ids:
             yield flush()
 
     return source.mapInArrow(run, INDEX)
 
 
+def copies(index: DataFrame, k: int) -> DataFrame:
+    """``digest, doc_id, place, number, first``: the first ``k`` documents of each text by doc_id, and the place of the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs = np.frombuffer(row["docs"], np.int64)
+                digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(docs), [None, pa.py_buffer(row["digests"])]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.array(docs), pa.array((row["shard"] << PLACE) + np.arange(len(docs)))], ["digest", "doc_id", "place"])
+
+    w = W.partitionBy("digest").orderBy("doc_id", "place")
+    rows = index.select("shard", "digests", "docs").mapInArrow(run, "digest binary, doc_id bigint, place bigint")
+    return stored(rows.withColumns({"number": F.row_number().over(w), "first": F.first("place").over(w)}).filter(F.col("number") <= k))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``doc_id, terms`` (sorted hashes) ``, n`` of each distinct query that has words."""
     source = queries.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
@@ -255,8 +385,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     index, all_asked = cut(build_index(docs)), cut(query_terms(queries))
+    same = copies(index, k)
+    bits = same.filter("number = 1").groupBy(F.shiftright("place", PLACE).alias("shard")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << PLACE) - 1)).alias("bits"))
+    alive = sc.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
     found = f"{ensure_checkpoint_dir(spark).rstrip('/')}/found-{uuid.uuid4().hex}"
-    schema = "query_id bigint, doc_id bigint, score double"
+    schema = "query_id bigint, doc_id bigint, place bigint, score double"
 
     def totals(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -285,25 +418,35 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         df = np.zeros(len(terms), np.float64)
         df[counted["term"].to_numpy(np.int64)] = counted["df"].to_numpy(np.float64)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        plan = sc.broadcast([(q, t, idf[np.searchsorted(terms, t)]) for q, t in asked])
+        plan = sc.broadcast(Plan(asked, terms, idf))
 
         def run(batches: Iterator[pa.RecordBatch], plan=plan, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
-            best = [TopK(k) for _ in plan.value]
+            top = TopK(k, len(plan.value.docs))
             for batch in batches:
                 for row in batch.to_pylist():
                     shard = Shard.read(row)
+                    mine = np.unpackbits(np.frombuffer(alive.value.get(row["shard"], b""), np.uint8), bitorder="little").astype(bool)
+                    if not mine.any():
+                        continue
+                    shard = shard.only(mine[: len(shard.docs)], row["shard"])
                     shard.prepare(avgdl)
-                    for top, (_, t, w) in zip(best, plan.value, strict=True):
-                        shard.search(t, w, top)
-            q = np.repeat(np.array([q for q, _, _ in plan.value], np.int64), [len(b.doc) for b in best])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([b.doc for b in best])), pa.array(np.concatenate([b.score for b in best]))], ["query_id", "doc_id", "score"])
+                    shard.search_all(plan.value, top)
+            q = np.repeat(plan.value.docs, np.isfinite(top.scores).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top.doc), pa.array(top.places[np.isfinite(top.scores)]), pa.array(top.score)], ["query_id", "doc_id", "place", "score"])
 
-        index.mapInArrow(run, schema).write.mode("append").parquet(found)
+        index.drop("digests").mapInArrow(run, schema).write.mode("append").parquet(found)
         held.unpersist()
         plan.unpersist()
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    out = spark.read.schema(schema).parquet(found)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    alive.unpersist()
+
+    def ranked(df: DataFrame) -> DataFrame:
+        w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    others = same.filter("number > 1").groupBy(F.col("first").alias("place")).agg(F.collect_list("doc_id").alias("others"))
+    best = ranked(spark.read.schema(schema).parquet(found)).join(others, "place", "left")
+    each = F.concat(F.array("doc_id"), F.coalesce("others", F.array().cast("array<bigint>")))
+    return ranked(best.select("query_id", "score", F.explode(each).alias("doc_id"))).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 ORACLE = """
