@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 
+def arrow_rows(spark: SparkSession, rows: int | None = None) -> None:
+    """Set the rows of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows or ARROW_ROWS))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that go to a Python worker at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    arrow_rows(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

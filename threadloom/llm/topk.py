@@ -49,18 +49,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut, ensure_checkpoint_dir, stored, text_or_empty
+from threadloom.llm.common import arrow_rows, cut, ensure_checkpoint_dir, stored, text_or_empty
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of one shard at most (a single longer text has a shard of its own).
 SHARD_DOCS, SHARD_BYTES = 4_096, 1 << 25
 BLOCK = 16
-#: Distinct terms of all queries of one block at most (a single longer query is a block of its own); each block reads all shards once, and sends 16 bytes a term to the tasks.
-QUERY_TERMS = 2_000_000
+#: Distinct terms of all queries of one block at most (a single longer query is a block of its own); each block reads all shards twice, and sends 4 bytes a term of each query and 16 a distinct one to the tasks.
+QUERY_TERMS = 4_000_000
+#: Tasks a core that a block's search is dealt to at most: in a task, a query's threshold goes on from shard to shard.
+TASKS = 4
 #: A term that one in so many of a shard's documents has is common; so many of the most frequent at most, the others keep their postings.
 DENSE, COMMON = 32, 1_024
+#: Terms of the queries that are looked up in a shard at a time.
+PART_TERMS = 500_000
 #: Queries of a batch, and postings of their rarer terms, at most (a single query with more is a batch of its own).
 BATCH, BATCH_POSTS = 256, 2_000_000
+#: Queries of a batch whose rarer terms are added up together: their sums stay in the cache.
+FEW = 32
 #: Blocks of documents that are scored together; and those of each query's best such tile that are taken first, to raise the threshold.
 TILE, FIRST = 64, 8
 WORD = re.compile(r"\w+")
@@ -155,24 +161,33 @@ class Shard:
 
     def search_all(self, plan: Plan, top: TopK) -> None:
         """Run all queries of a plan and update their top k, a batch of queries at a time."""
-        place = np.full(len(plan.terms), -1)
+        place = np.full(len(plan.terms), -1, np.int32)
         at = np.minimum(np.searchsorted(plan.terms, self.terms), len(plan.terms) - 1)
         own = np.flatnonzero(plan.terms[at] == self.terms)
         place[at[own]] = own
-        term = place[plan.ids]
-        own = term >= 0
-        query, term, weight = plan.query[own], term[own], plan.weight[own]
+        a = 0
+        while a < len(plan.docs):
+            b = max(a + 1, int(np.searchsorted(plan.starts, plan.starts[a] + PART_TERMS, "right")) - 1)
+            self._part(plan, place, top, a, b)
+            a = b
+
+    def _part(self, plan: Plan, place: np.ndarray, top: TopK, first: int, last: int) -> None:
+        ids = plan.ids[plan.starts[first] : plan.starts[last]]
+        term = place[ids]
+        own = np.flatnonzero(term >= 0)
+        query = np.repeat(np.arange(last - first), np.diff(plan.starts[first : last + 1]))[own]
+        term, weight = term[own].astype(np.int64), plan.idf[ids[own]]
         self.known += int(self.df[term].sum())
         column = self.column[term]
         some = column >= 0
         common = (query[some], column[some], weight[some])
         query, term, weight = query[~some], term[~some], weight[~some]
-        posts = np.cumsum(np.bincount(query, self.df[term], len(plan.docs)))
+        posts = np.cumsum(np.bincount(query, self.df[term], last - first))
         a = 0
-        while a < len(plan.docs):
-            b = min(a + BATCH, max(a + 1, int(np.searchsorted(posts, (posts[a - 1] if a else 0) + BATCH_POSTS, "right"))))
+        while a < last - first:
+            b = min(last - first, a + BATCH, max(a + 1, int(np.searchsorted(posts, (posts[a - 1] if a else 0) + BATCH_POSTS, "right"))))
             r, c = slice(*np.searchsorted(query, (a, b))), slice(*np.searchsorted(common[0], (a, b)))
-            self._batch(top, a, b - a, (query[r] - a, term[r], weight[r]), (common[0][c] - a, common[1][c], common[2][c]))
+            self._batch(top, first + a, b - a, (query[r] - a, term[r], weight[r]), (common[0][c] - a, common[1][c], common[2][c]))
             a = b
 
     def _batch(self, top: TopK, a: int, m: int, rare: tuple, common: tuple) -> None:
@@ -190,20 +205,23 @@ class Shard:
         query, term, weight = rare
         self.read_ += int(self.df[term].sum())
 
-        def added(starts: np.ndarray, doc: np.ndarray, gain: np.ndarray | None = None) -> np.ndarray:
-            lo = starts[term]
-            n = starts[term + 1] - lo
-            post = np.repeat(lo - (np.cumsum(n) - n), n)
+        def added(part: slice, lo: int, hi: int, starts: np.ndarray, doc: np.ndarray, gain: np.ndarray | None = None) -> np.ndarray:
+            at = starts[term[part]]
+            n = starts[term[part] + 1] - at
+            post = np.repeat(at - (np.cumsum(n) - n), n)
             post += np.arange(len(post))
-            slot, value = np.repeat(query * width, n), np.repeat(weight, n)
+            slot, value = np.repeat((query[part] - lo) * width, n), np.repeat(weight[part], n)
             slot += doc[post]
             if gain is not None:
                 value *= gain[post]
-            return np.bincount(slot, value, m * width).reshape(m, width)
-
-        base = added(self.starts, self.post)
-        base *= self.single
-        base += added(self.more_starts, self.more_doc, self.more)
+            return np.bincount(slot, value, (hi - lo) * width).reshape(hi - lo, width)
+
+        base = np.empty((m, width))
+        for lo in range(0, m, FEW):
+            hi = min(lo + FEW, m)
+            part = slice(*np.searchsorted(query, (lo, hi)))
+            np.multiply(added(part, lo, hi, self.starts, self.post), self.single, out=base[lo:hi])
+            base[lo:hi] += added(part, lo, hi, self.more_starts, self.more_doc, self.more)
         query, column, weight = common
         asked = np.zeros((m, self.dense.shape[1]), np.float32)
         asked[query, column] = weight
@@ -215,7 +233,7 @@ class Shard:
         bound = (most + asked @ self.rough_max.T) * (1 + self.slack)
         bound[bound <= 0] = -np.inf
         best = bound.argmax(1) // TILE
-        for early in (True, False):
+        for early in (True, False) if np.isneginf(top.least_of(a, m)).any() else (False,):
             for lo in range(0, self.n_blocks, TILE):
                 hi, least = min(lo + TILE, self.n_blocks), top.least_of(a, m)
                 part = bound[:, lo:hi]
@@ -254,21 +272,12 @@ class Shard:
 
 
 class Plan:
-    """The queries of a block: ``docs``, and for each of their terms the ``query``, the place in ``terms`` (``ids``) and the ``weight``."""
+    """The queries of a block: ``docs``, and the places in ``terms`` (``ids``) of each one's terms, from ``starts``."""
 
     def __init__(self, asked: list[tuple[int, np.ndarray]], terms: np.ndarray, idf: np.ndarray):
         self.docs, self.terms, self.idf = np.array([q for q, _ in asked], np.int64), terms, idf
-        self.sizes = np.array([len(t) for _, t in asked], np.int64)
-        self.ids = np.searchsorted(terms, np.concatenate([t for _, t in asked])).astype(np.int32)
-        self.__setstate__(self.__getstate__())
-
-    def __getstate__(self) -> tuple:
-        return self.docs, self.terms, self.idf, self.sizes, self.ids
-
-    def __setstate__(self, state: tuple) -> None:
-        self.docs, self.terms, self.idf, self.sizes, self.ids = state
-        self.query = np.repeat(np.arange(len(self.docs)), self.sizes)
-        self.weight = self.idf[self.ids]
+        self.starts = np.cumsum([0, *(len(t) for _, t in asked)])
+        self.ids = np.concatenate([np.searchsorted(terms, t).astype(np.int32) for _, t in asked])
 
 
 class TopK:
@@ -350,7 +359,7 @@ def copies(index: DataFrame, k: int) -> DataFrame:
 
     w = W.partitionBy("digest").orderBy("doc_id", "place")
     rows = index.select("shard", "digests", "docs").mapInArrow(run, "digest binary, doc_id bigint, place bigint")
-    return stored(rows.withColumns({"number": F.row_number().over(w), "first": F.first("place").over(w)}).filter(F.col("number") <= k))
+    return stored(rows.withColumn("number", F.row_number().over(w)).filter(F.col("number") <= k).withColumn("first", F.first("place").over(w)))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -385,10 +394,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     index, all_asked = cut(build_index(docs)), cut(query_terms(queries))
+    # a shard at a time: it has tens of megabytes
+    arrow_rows(spark, 1)
     same = copies(index, k)
     bits = same.filter("number = 1").groupBy(F.shiftright("place", PLACE).alias("shard")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << PLACE) - 1)).alias("bits"))
     alive = sc.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
     found = f"{ensure_checkpoint_dir(spark).rstrip('/')}/found-{uuid.uuid4().hex}"
+    tasks = TASKS * sc.defaultParallelism
     schema = "query_id bigint, doc_id bigint, place bigint, score double"
 
     def totals(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -408,15 +420,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for batch in batches:
                 for row in batch.select(["terms", "starts"]).to_pylist():
                     own, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int64)
-                    at = np.minimum(np.searchsorted(own, held.value), max(len(own) - 1, 0))
-                    if len(own):
-                        df += np.where(own[at] == held.value, starts[at + 1] - starts[at], 0)
+                    at = np.minimum(np.searchsorted(held.value, own), len(held.value) - 1)
+                    some = held.value[at] == own
+                    df[at[some]] += np.diff(starts)[some]
             hit = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(df[hit], pa.int64())], ["term", "df"])
 
-        counted = index.select("terms", "starts").mapInArrow(local_df, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+        counted = stored(index.select("terms", "starts").coalesce(tasks).mapInArrow(local_df, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")))
+        arrow_rows(spark, 100_000)
+        counted = counted.toArrow()
+        arrow_rows(spark, 1)
         df = np.zeros(len(terms), np.float64)
-        df[counted["term"].to_numpy(np.int64)] = counted["df"].to_numpy(np.float64)
+        df[counted["term"].to_numpy()] = counted["df"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         plan = sc.broadcast(Plan(asked, terms, idf))
 
@@ -434,10 +449,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             q = np.repeat(plan.value.docs, np.isfinite(top.scores).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top.doc), pa.array(top.places[np.isfinite(top.scores)]), pa.array(top.score)], ["query_id", "doc_id", "place", "score"])
 
-        index.drop("digests").mapInArrow(run, schema).write.mode("append").parquet(found)
+        index.drop("digests").coalesce(tasks).mapInArrow(run, schema).write.mode("append").parquet(found)
         held.unpersist()
         plan.unpersist()
     alive.unpersist()
+    arrow_rows(spark)
 
     def ranked(df: DataFrame) -> DataFrame:
         w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
