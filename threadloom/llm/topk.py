@@ -17,9 +17,17 @@ rises early. The best of each task go to the shared folder block by block, so
 neither the plan nor the driver grows with the queries; they merge exactly, as
 all tasks use the same global statistics.
 
-Skipping is by whole blocks for all terms at once rather than by a moving
-pivot: the bounds of all blocks follow in one pass over block maxima, and no
-posting of a block below the threshold is read. ``Shard.known`` and
+A shard takes its queries in batches. Terms that few of its documents have are
+added up first, as their lists are no longer than the list of blocks; a block's
+bound is the best such sum in it and the maxima of the common terms. Skipping is
+by whole blocks for all common terms at once rather than by a moving pivot, and
+no block below every threshold of a batch is read. Common terms are a matrix in
+32 bits, and only documents that may still be among the best within its error
+are scored in 64 bits.
+
+Equal texts have equal scores: a shard searches only the first document of each
+text (by a 128-bit digest), and the first ``k`` documents of a found text take
+its place in the end. All of them count in the statistics. ``Shard.known`` and
 ``Shard.read_`` count postings of the queries' terms, and those that were read.
 
 Scores are rounded to nine decimals, so equal texts have equal scores; ties go
