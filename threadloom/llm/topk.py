@@ -275,8 +275,7 @@ class Shard:
                 entry = np.repeat(first[q[i]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 doc = (np.arange(docs.start, docs.stop) if isinstance(docs, slice) else docs)[d]
                 total = base[q[i], doc] + np.bincount(np.repeat(np.arange(len(i)), n), self.dense[np.repeat(doc, n), column[entry]] * weight[entry], len(i))
-                # sums of equal texts may differ in their last bits
-                top.add(a + q[i], np.round(total, 9), self.docs[doc], self.places[doc])
+                top.add(a + q[i], total, self.docs[doc], self.places[doc])
 
 
 class Plan:
@@ -292,7 +291,7 @@ class TopK:
     """The best k (score, doc_id) and their places of each of ``n`` queries so far; equal scores: the smaller doc_id."""
 
     def __init__(self, k: int, n: int = 1):
-        self.k, self.scores, self.docs, self.places = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+        self.k, self.scores, self.sums, self.docs, self.places = k, np.full((n, k), -np.inf), np.zeros((n, k)), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
 
     @property
     def doc(self) -> np.ndarray:
@@ -306,17 +305,19 @@ class TopK:
         """What a sum must reach to be among the k best once rounded."""
         return self.scores[a : a + m, -1] - 1e-9
 
-    def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+    def add(self, query: np.ndarray, total: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+        # sums of equal texts may differ in their last bits; what is returned is rounded once
+        score = np.round(total, 9)
         some = score >= self.scores[query, -1]
         own = np.unique(query[some])
         held = np.isfinite(self.scores[own])
-        query, score, doc, place = (np.concatenate([old, new[some]]) for old, new in ((np.repeat(own, held.sum(1)), query), (self.scores[own][held], score), (self.docs[own][held], doc), (self.places[own][held], place)))
+        query, score, total, doc, place = (np.concatenate([old, new[some]]) for old, new in ((np.repeat(own, held.sum(1)), query), (self.scores[own][held], score), (self.sums[own][held], total), (self.docs[own][held], doc), (self.places[own][held], place)))
         order = np.lexsort((place, doc, -score, query))
         query = query[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
         keep = rank < self.k
         at, order = (query[keep], rank[keep]), order[keep]
-        self.scores[at], self.docs[at], self.places[at] = score[order], doc[order], place[order]
+        self.scores[at], self.sums[at], self.docs[at], self.places[at] = score[order], total[order], doc[order], place[order]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -409,7 +410,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     alive = sc.broadcast({r.shard: bytes(r.bits) for r in bits.collect()})
     found = f"{ensure_checkpoint_dir(spark).rstrip('/')}/found-{uuid.uuid4().hex}"
     tasks = TASKS * sc.defaultParallelism
-    schema = "query_id bigint, doc_id bigint, place bigint, score double"
+    schema = "query_id bigint, doc_id bigint, place bigint, score double, total double"
 
     def totals(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -455,7 +456,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     shard.prepare(avgdl)
                     shard.search_all(plan.value, top)
             q = np.repeat(plan.value.docs, np.isfinite(top.scores).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top.doc), pa.array(top.places[np.isfinite(top.scores)]), pa.array(top.score)], ["query_id", "doc_id", "place", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top.doc), pa.array(top.places[np.isfinite(top.scores)]), pa.array(top.score), pa.array(top.sums[np.isfinite(top.scores)])], ["query_id", "doc_id", "place", "score", "total"])
 
         index.drop("digests").coalesce(tasks).mapInArrow(run, schema).write.mode("append").parquet(found)
         held.unpersist()
@@ -470,7 +471,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     others = same.filter("number > 1").groupBy(F.col("first").alias("place")).agg(F.collect_list("doc_id").alias("others"))
     best = ranked(spark.read.schema(schema).parquet(found)).join(others, "place", "left")
     each = F.concat(F.array("doc_id"), F.coalesce("others", F.array().cast("array<bigint>")))
-    return ranked(best.select("query_id", "score", F.explode(each).alias("doc_id"))).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return ranked(best.select("query_id", "score", "total", F.explode(each).alias("doc_id"))).select("query_id", "rank", "doc_id", F.round("total", 6).alias("score"))
 
 
 ORACLE = """
